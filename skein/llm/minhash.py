@@ -16,11 +16,16 @@ COORDINATES = 32
 LEAST_EQUAL = 16
 #: A pair with LEAST_EQUAL equal coordinates has one among the first 17: only these are posted, the rest is skipped.
 PREFIX = COORDINATES - LEAST_EQUAL + 1
-#: Rows of a posting list that are compared with each other at once.
-CHUNK = 512
+#: Rows of a posting list that are compared with each other at once; longer lists are split by a second coordinate first.
+CHUNK = 4096
+#: Bytes of the long signature, of one coordinate each, and how many must agree before the full sets are compared. At
+#: similarity 0.8 fewer do for about 1 pair in 500,000.
+LONG, LEAST_LONG = 512, 368
 _R = np.random.default_rng(20_240_501)
 _MUL = _R.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _R.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_LONG_MUL = _R.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_ADD = _R.integers(0, 2**63, LONG, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +55,15 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_signature(hashes: np.ndarray) -> np.ndarray:
+    """Lowest bytes of LONG more coordinates."""
+    out = np.empty(LONG, np.uint8)
+    for at in range(0, LONG, 8):
+        low = ((hashes[None, :] * _LONG_MUL[at : at + 8, None] + _LONG_ADD[at : at + 8, None]) >> np.uint64(24)).min(axis=1, initial=np.uint64(2**40 - 1))
+        out[at : at + 8] = low & np.uint64(255)
+    return out
+
+
 def _sketch(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary())])
 
@@ -67,12 +81,12 @@ def _sketch(k: int):
 
 
 def _sets(k: int):
-    schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64())), ("long", pa.binary())])
 
     def run(batches):
         for batch in rows_by_bytes(batches, 1 << 20):
-            items = [np.unique(shingle_hashes(t.as_py(), k)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+            items = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64())), pa.array([long_signature(x).tobytes() for x in items], pa.binary())], schema=schema)
 
     return run
 
@@ -86,70 +100,80 @@ def _equal(batches):
 
 
 def _pairs_in_lists(every: bool):
-    """Candidate pairs of different components within posting lists.
+    """Candidate pairs of different components within posting lists, each pair in one list only.
 
-    Rows come sorted by (key, part): the rows of a list, or of two chunks of a long list. ``every``: all pairs with enough
-    equal coordinates; else each row's best one for each other component.
+    Rows come sorted by (g, part): the rows of a list, or of two chunks of a long one. A pair belongs to the list of its first
+    equal coordinate ``c1`` and, where lists were split once more, of the next equal one ``c2``. ``every``: all pairs that the
+    long signatures let pass; else the best partner of each row.
     """
 
-    def in_group(ids, comp, sig, side):
+    def in_group(ids, comp, sig, wide, side, c1, c2):
         a = np.arange(len(ids)) if side is None else np.flatnonzero(side == 0)
         b = a if side is None else np.flatnonzero(side == 1)
-        got = []
-        for at in range(0, len(a), 256):
-            rows = a[at : at + 256]
-            same = np.zeros((len(rows), len(b)), np.int16)
+        got_a, got_b, got_n = [], [], []
+        for at in range(0, len(a), 128):
+            rows = a[at : at + 128]
+            cols = b[b > rows[0]] if side is None else b
+            same = np.zeros((len(rows), len(cols)), np.int8)
             for c in range(COORDINATES):
-                same += sig[rows, c][:, None] == sig[b, c][None, :]
-            same[comp[rows][:, None] == comp[b][None, :]] = 0
-            if side is None:
-                same[ids[rows][:, None] >= ids[b][None, :]] = 0
+                same += sig[rows, c][:, None] == sig[cols, c][None, :]
             i, j = np.nonzero(same >= LEAST_EQUAL)
-            if len(i) and not every:
-                order = np.lexsort((ids[b[j]], -same[i, j], comp[b[j]], i))
-                i, j = i[order], j[order]
-                first = np.r_[True, (i[1:] != i[:-1]) | (comp[b[j[1:]]] != comp[b[j[:-1]]])]
-                i, j = i[first], j[first]
-            got.append((rows[i], b[j]))
-        x = np.concatenate([g[0] for g in got]) if got else np.empty(0, int)
-        y = np.concatenate([g[1] for g in got]) if got else np.empty(0, int)
+            n, i, j = same[i, j], rows[i], cols[j]
+            ok = comp[i] != comp[j]
+            if side is None:
+                ok &= i < j
+            i, j, n = i[ok], j[ok], n[ok]
+            ok = c1[i] == c1[j]
+            equal = sig[i] == sig[j]
+            ok &= equal.argmax(1) == c1[i]
+            deep = c2[i] >= 0
+            if deep.any():
+                equal[np.arange(len(i)), np.minimum(c1[i], COORDINATES - 1)] = False
+                ok &= ~deep | (c2[i] == c2[j]) & (equal.argmax(1) == c2[i])
+            i, j, n = i[ok], j[ok], n[ok]
+            if every and len(i):
+                ok = np.concatenate([(wide[i[s : s + 65_536]] == wide[j[s : s + 65_536]]).sum(1) >= LEAST_LONG for s in range(0, len(i), 65_536)])
+                i, j, n = i[ok], j[ok], n[ok]
+            got_a.append(i)
+            got_b.append(j)
+            got_n.append(n)
+        x, y, n = (np.concatenate(g) if g else np.empty(0, np.int64) for g in (got_a, got_b, got_n))
+        if not every and len(x):  # the best of each row, as either end
+            keep = np.zeros(len(x), bool)
+            for of in (x, y):
+                order = np.lexsort((-n.astype(np.int64), of))
+                keep[order[np.r_[True, of[order][1:] != of[order][:-1]]]] = True
+            x, y = x[keep], y[keep]
         return ids[x], ids[y]
 
+    def out(pdf, cuts):
+        ids, comp, side, c1, c2 = (pdf[c].to_numpy() for c in ("id", "comp", "side", "c1", "c2"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), COORDINATES)
+        wide = np.frombuffer(b"".join(pdf["long"]), np.uint8).reshape(len(pdf), LONG) if every else None
+        a, b = [], []
+        for g in np.flatnonzero(np.diff(cuts) > 1):
+            s = slice(cuts[g], cuts[g + 1])
+            if (sides := side[s]).min() < 0 or (sides == 0).any() and (sides == 1).any():
+                x, y = in_group(ids[s], comp[s], sig[s], wide[s] if every else None, None if sides.min() < 0 else sides, c1[s], c2[s])
+                a.append(x)
+                b.append(y)
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
     def run(batches):
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            mark = pdf["key"].to_numpy() * 1_000_003 + pdf["part"].to_numpy()
-            cut = np.flatnonzero(mark[1:] != mark[:-1]) + 1
-            if not len(cut):
-                held = pdf
-                continue
-            yield out(pdf.iloc[: cut[-1]], np.r_[0, cut])
-            held = pdf.iloc[cut[-1] :].reset_index(drop=True)
+            g, part = pdf["g"].to_numpy(), pdf["part"].to_numpy()
+            cut = np.flatnonzero((g[1:] != g[:-1]) | (part[1:] != part[:-1])) + 1
+            if len(cut):
+                yield out(pdf.iloc[: cut[-1]], np.r_[0, cut])
+                pdf = pdf.iloc[cut[-1] :].reset_index(drop=True)
+            held = pdf
         if held is not None and len(held):
-            mark = held["key"].to_numpy() * 1_000_003 + held["part"].to_numpy()
-            yield out(held, np.r_[0, np.flatnonzero(mark[1:] != mark[:-1]) + 1, len(held)])
-
-    def out(pdf, cuts):
-        ids, comp, side = (pdf[c].to_numpy() for c in ("id", "comp", "side"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), COORDINATES)
-        a, b = [], []
-        # Lists of two, by far the most, at once; others one by one.
-        two = np.flatnonzero(np.diff(cuts) == 2)
-        if len(two):
-            i = cuts[two]
-            ok = (comp[i] != comp[i + 1]) & ((sig[i] == sig[i + 1]).sum(1) >= LEAST_EQUAL)
-            a.append(ids[i][ok])
-            b.append(ids[i + 1][ok])
-        for g in np.flatnonzero(np.diff(cuts) > 2):
-            s = slice(cuts[g], cuts[g + 1])
-            x, y = in_group(ids[s], comp[s], sig[s], None if (side[s] < 0).all() else side[s])
-            a.append(x)
-            b.append(y)
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            yield out(held, np.array([0, len(held)]))
 
     return run
 
@@ -164,8 +188,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Equal sets collapse to their smallest id first. Signatures are posted under each (coordinate, value) of the prefix;
     every list is joined with its smallest member (a star, never all pairs), and pairs with enough equal coordinates are
-    confirmed on the full sets. Lists that then still span several components are compared in chunks: first each row's
-    best partner in each other component, then all pairs that are still apart, so a link is lost only by the signature.
+    confirmed on the full sets. Lists that then still span several components are compared in chunks, very long ones after a
+    split by a second coordinate: first each row's best partner elsewhere, then, between what is still apart, all pairs that
+    a longer signature lets pass. So a link is lost only where signatures disagree.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     sketch = scratch.keep(with_texts(docs, "doc_id").mapInArrow(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary"), "sketch")
@@ -179,49 +204,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sigs = reps.groupBy("id").agg(F.min("sig").alias("sig"))
     stars = posts.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("met"))
     stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    found = [_confirmed(scratch, docs, stars.select("a", "b", "sig_a", "sig_b").mapInPandas(_equal, "a long, b long"), k, percent, "stars")]
+    stars = scratch.keep(stars.select("a", "b", "sig_a", "sig_b").mapInPandas(_equal, "a long, b long"), "star-pairs")
+    links = _confirmed(scratch, stars, _shingle_sets(scratch, docs, stars, k, "star-sets"), percent, "stars")
+    scratch.drop("star-sets", "star-pairs")
     copies = known.join(reps.where("copies > 1").select("fp", "id"), "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
-    found.append(scratch.keep(copies.distinct(), "copies"))
-    components = connected_components(found[0].unionByName(found[1]), scratch, tag="cc0")
-    for every in (False, True):
-        components = scratch.keep(components, f"components-{every}")
-        pairs = scratch.keep(_apart(posts, sigs, components, every), f"apart-{every}")
-        if pairs.isEmpty():
-            break
-        found.append(_confirmed(scratch, docs, pairs, k, percent, f"more-{every}"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        components = connected_components(links, scratch, tag=f"cc{1 + every}")
+    links = links.unionByName(scratch.keep(copies.distinct(), "copies"))
+    components = scratch.keep(connected_components(links, scratch, tag="cc0"), "components-0")
+    best = scratch.keep(_apart(scratch, posts, sigs, components, None, "best"), "best-pairs")
+    if not best.isEmpty():
+        sets = _shingle_sets(scratch, docs, best, k, "sets")
+        links = links.unionByName(_confirmed(scratch, best, sets, percent, "more"))
+        components = scratch.keep(connected_components(links, scratch, tag="cc1"), "components-1")
+        rest = scratch.keep(_apart(scratch, posts, sigs, components, sets, "rest"), "rest-pairs")
+        links = links.unionByName(_confirmed(scratch, rest, sets, percent, "rest"))
+        components = connected_components(links, scratch, tag="cc2")
+        scratch.drop("sets", "posts")
     rows = sketch.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(posts: DataFrame, sigs: DataFrame, components: DataFrame, every: bool) -> DataFrame:
-    """Pairs of posting lists that span several components."""
-    row = posts.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_lists = row.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    row = row.join(open_lists, "key", "left_semi").join(sigs, "id")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    row = row.withColumn("m", chunks).withColumn("c", F.pmod(F.xxhash64("id", "key"), F.col("m")).cast("int"))
+def _apart(scratch: Scratch, posts: DataFrame, sigs: DataFrame, components: DataFrame, sets: DataFrame | None, tag: str) -> DataFrame:
+    """Pairs of posting lists that span several components; with ``sets``, of their ids and by their long signatures."""
+    row = posts.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    if sets is not None:
+        row = row.join(sets.select("id"), "id", "left_semi")
+    row = scratch.keep(row, f"{tag}-row")
+    span = lambda df, by: scratch.keep(df.groupBy(by).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(by, "n"), f"{tag}-{by}")
+    row = row.join(span(row, "key"), "key").join(sigs, "id").withColumn("c1", F.shiftright("key", 32).cast("int"))
+    row = scratch.keep(row if sets is None else row.join(sets.select("id", "long"), "id"), f"{tag}-open")
+    short = row.where(F.col("n") <= CHUNK).withColumn("c2", F.lit(-1)).withColumn("g", F.col("key"))
+    # Of a pair's LEAST_EQUAL equal coordinates the second lies within the prefix and one more, after the first.
+    value = F.substring("sig", F.col("c2") * 4 + 1, F.lit(4))
+    split = row.where(F.col("n") > CHUNK).drop("n").withColumn("c2", F.explode(F.expr(f"sequence(c1 + 1, {PREFIX})"))).withColumn("g", F.xxhash64("key", "c2", value))
+    split = split.join(span(split.select("g", "comp"), "g"), "g")
+    row = short.unionByName(split)
+    row = row.withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("id", "g"), F.col("m")).cast("int"))
     # part: one for each unordered pair of chunks; side: which chunk of the pair, -1 within one chunk.
     to = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct((F.least(o, F.col("c")) * F.col("m") + F.greatest(o, F.col("c"))).alias("part"), F.when(o == F.col("c"), -1).when(F.col("c") < o, 0).otherwise(1).alias("side")))
-    row = row.withColumn("to", F.explode(to)).select("key", F.col("to.part").alias("part"), "id", "comp", F.col("to.side").alias("side"), "sig")
-    row = row.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part", "id")
-    return row.mapInPandas(_pairs_in_lists(every), "a long, b long").distinct()
+    cols = ["g", F.col("to.part").alias("part"), "id", "comp", F.col("to.side").alias("side"), "c1", "c2", "sig", *(["long"] if sets is not None else [])]
+    row = row.withColumn("to", F.explode(to)).select(*cols).repartition("g", "part").sortWithinPartitions("g", "part", "id")
+    return row.mapInPandas(_pairs_in_lists(sets is not None), "a long, b long")
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    pairs = scratch.keep(pairs, f"{tag}-pairs")
+def _shingle_sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, tag: str) -> DataFrame:
+    """Full sets and long signatures of the documents in pairs."""
     need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = with_texts(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), "doc_id")
-    sets = scratch.keep(texts.mapInArrow(_sets(k), "id long, items array<long>").groupBy("id").agg(F.first("items").alias("items")), f"{tag}-sets")
+    sets = texts.mapInArrow(_sets(k), "id long, items array<long>, long binary")
+    return scratch.keep(sets.dropDuplicates(["id"]), tag)
+
+
+def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("t")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("s")), "a")
     both = both.select("a", "b", F.size("s").alias("x"), F.size("t").alias("y"), F.size(F.array_intersect("s", "t")).alias("z"))
-    links = scratch.keep(both.where(f"100L * z >= {percent}L * (x + y - z)").select("a", "b"), tag)
-    scratch.drop(f"{tag}-sets", f"{tag}-pairs")
-    return links
+    return scratch.keep(both.where(f"100L * z >= {percent}L * (x + y - z)").select("a", "b"), tag)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
