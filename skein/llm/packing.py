@@ -32,26 +32,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {}, {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.kept) > _CACHE_WORDS:
-            self.kept = {}
+        if len(self.kept) > _CACHE_WORDS:  # words that come back move on from the older generation
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
         split = [None if _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self.kept))
+        new = []
+        for w in set().union(*filter(None, split)).difference(kept):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                kept[w] = ids
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary doesn't end each word with an end-of-word piece")
+            raw = ids.tobytes()
             for w, a, b in zip(part, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
-                self.kept[w] = ids[a:b].tobytes()
-        get = self.kept.__getitem__
+                kept[w] = raw[4 * a : 4 * b]
+        get = kept.__getitem__
         return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
     def whole(self, text: str) -> bytes:
