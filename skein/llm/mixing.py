@@ -57,8 +57,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, pow
     rates = rates.select(F.col("source").alias("_source"), "rate", "draws", grown.alias("cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     tagged = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
-    one = lambda i: F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(str(seed)), key, i.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda s, i: s + one(i))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: _uniform(F.lit(str(seed)), key, i.cast("string")))
+    count = F.aggregate(drawn, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c <= u)))
     tagged = tagged.withColumn("_count", count).where("_count > 0").drop("cdf", "draws", "_source")
     copies = tagged.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy_no").cast("string"))))
