@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -65,6 +66,12 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so that a task finds the words of those before it."""
+    return WordEncoder(path)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -81,10 +88,10 @@ def _cut(path: str | None):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, uid, size = WordEncoder(path or default_vocabulary()), TaskContext.get().partitionId() << 36, 4 * CAPACITY
+        words, uid, size = encoder(path or default_vocabulary()), TaskContext.get().partitionId() << 36, 4 * CAPACITY
         for batch in rows_by_bytes(batches):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t.as_py().decode() for t in batch.column(1)]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode([t.as_py().decode() for t in batch.column(1)]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), size)):
                     rows.append((doc, uid, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])))

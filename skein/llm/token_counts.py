@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -97,6 +98,12 @@ class UnigramCounter:
         return total
 
 
+@functools.cache
+def counter(path: str | None) -> UnigramCounter:
+    """One counter for each Python worker, so that a task finds the words of those before it."""
+    return UnigramCounter(unigram_vocabulary(path)[0])
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id long, n_tokens long`` of every whole text.
 
@@ -107,9 +114,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        counter = UnigramCounter(unigram_vocabulary(vocabulary)[0])
         for batch in rows_by_bytes(batches):
-            counts = [counter.count(t.as_py().decode()) for t in batch.column(1)]
+            counts = [counter(vocabulary).count(t.as_py().decode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     return with_texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_tokens long")
