@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +12,8 @@ from skein.llm.common import rows_by_bytes, with_texts
 SPACE = "▁"
 #: Below the lowest score by this much lies the score of a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
-_CACHE_WORDS = 200_000
-_SPLIT = re.compile(" [^ ]*|^[^ ]+")
+_CACHE_WORDS = 400_000
+_NONE = float("-inf")
 
 
 def unigram_vocabulary(path: str | None = None) -> tuple[list[tuple[str, float]], int]:
@@ -45,10 +44,28 @@ class UnigramCounter:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in pieces} if byte_fallback else set()
-        self.kept: dict[str, tuple[int, float]] = {}
+        self.kept: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def word(self, word: str) -> tuple[int, float]:
-        """(pieces, score) of one word."""
+        """(pieces, score) of one word.
+
+        The automaton reports matches by their end, of one end the longest first, so a match finds its start's best path
+        complete and of equal scores the earliest start stays.
+        """
+        n = len(word)
+        best, count, singles = [0.0] + [_NONE] * n, [0] * (n + 1), 0
+        for end, (length, score) in self.automaton.iter(word):
+            end += 1
+            score += best[end - length]
+            if score > best[end]:
+                best[end], count[end] = score, count[end - length] + 1
+            if length == 1:
+                singles += 1
+        return (count[n], best[n]) if singles == n else self.word_with_unknown(word)
+
+    def word_with_unknown(self, word: str) -> tuple[int, float]:
+        """The same for a word with characters that no one-character piece covers."""
         n = len(word)
         ends: list[list] = [[] for _ in range(n + 1)]
         single = bytearray(n)
@@ -85,17 +102,16 @@ class UnigramCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        kept, total = self.kept, 0
-        for w in _SPLIT.findall(text if text[0] == " " else " " + text):
-            got = kept.get(w)
-            if got is None:
-                got = self.word(SPACE + w[1:])[0]
-                if len(w) < 100:
-                    if len(kept) >= _CACHE_WORDS:
-                        kept.clear()
-                    kept[w] = got
-            total += got
-        return total
+        words = text.split(" ")
+        if text[0] == " ":
+            del words[0]
+        if len(self.kept) > _CACHE_WORDS:  # words that come back move on from the older generation
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        for w in set(words).difference(kept):
+            got = older.get(w)
+            kept[w] = self.word(SPACE + w)[0] if got is None else got
+        return sum(map(kept.__getitem__, words))
 
 
 @functools.cache
