@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, connected_components, rows_by_bytes, with_texts
+from skein.llm.common import Scratch, connected_components, rows_by_bytes, tidy, with_texts
 
 COORDINATES = 32
 #: Retained above this many equal coordinates. At similarity 0.8 fewer than 16 of 32 agree for about 3 pairs in 100,000.
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     a longer signature lets pass. So a link is lost only where signatures disagree.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    sketch = scratch.keep(with_texts(docs, "doc_id").mapInArrow(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary"), "sketch")
+    sketch = scratch.keep(with_texts(docs, "doc_id").mapInArrow(tidy(_sketch(k)), "doc_id long, n_shingles long, fp binary, sig binary"), "sketch")
     known = sketch.where("doc_id is not null and fp is not null")
     reps = scratch.keep(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "reps")
     coords = F.expr(f"transform(sequence(0, {PREFIX - 1}), i -> shiftleft(cast(i as long), 32) | cast(conv(hex(substring(sig, i * 4 + 1, 4)), 16, 10) as long))")
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sigs = reps.groupBy("id").agg(F.min("sig").alias("sig"))
     stars = posts.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("met"))
     stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    stars = scratch.keep(stars.select("a", "b", "sig_a", "sig_b").mapInPandas(_equal, "a long, b long"), "star-pairs")
+    stars = scratch.keep(stars.select("a", "b", "sig_a", "sig_b").mapInPandas(tidy(_equal), "a long, b long"), "star-pairs")
     links = _confirmed(scratch, stars, _shingle_sets(scratch, docs, stars, k, "star-sets"), percent, "stars")
     scratch.drop("star-sets", "star-pairs")
     copies = known.join(reps.where("copies > 1").select("fp", "id"), "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b")
@@ -253,7 +253,7 @@ def _apart(scratch: Scratch, posts: DataFrame, sigs: DataFrame, components: Data
     to = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct((F.least(o, F.col("c")) * F.col("m") + F.greatest(o, F.col("c"))).alias("part"), F.when(o == F.col("c"), -1).when(F.col("c") < o, 0).otherwise(1).alias("side")))
     cols = ["g", F.col("to.part").alias("part"), "id", "comp", F.col("to.side").alias("side"), "c1", "c2", "sig", *(["long"] if sets is not None else [])]
     row = row.withColumn("to", F.explode(to)).select(*cols).repartition("g", "part").sortWithinPartitions("g", "part", "id")
-    return row.mapInPandas(_pairs_in_lists(sets is not None), "a long, b long")
+    return row.mapInPandas(tidy(_pairs_in_lists(sets is not None)), "a long, b long")
 
 
 def _shingle_sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, tag: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _shingle_sets(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int, t
     needed = np.zeros(1 << FILTER_BITS - 6, np.int64)
     needed[words["w"].to_numpy()] = words["bits"].to_numpy()
     texts = with_texts(docs.where("doc_id is not null"), "doc_id").select("doc_id", "_t", bit(F.col("doc_id").cast("long")).alias("bit"))
-    sets = scratch.keep(texts.mapInArrow(_sets(k, needed), "id long, items array<long>, long binary"), tag)
+    sets = scratch.keep(texts.mapInArrow(tidy(_sets(k, needed)), "id long, items array<long>, long binary"), tag)
     rows, ids = sets.agg(F.count("id"), F.count_distinct("id")).first()
     return sets if rows == ids else scratch.keep(sets.dropDuplicates(["id"]), f"{tag}-once")
 

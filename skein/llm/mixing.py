@@ -22,7 +22,7 @@ def _uniform(*parts: Column) -> Column:
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7, total: float | None = None) -> DataFrame:
     """``source, n, rate``: rows of each source and the mean repetitions that bring it to its target weight.
 
-    ``weights``: target shares by source, scaled to sum 1; sources that it lacks get none. Without it the share of a source
+    ``weights``: target shares by source, scaled to sum 1 over the sources there are; sources that it lacks get none. Without it the share of a source
     is in proportion to its count to ``power``. ``total``: expected rows of the result, by default as many as there are.
     """
     stats = docs.groupBy("source").agg(F.count("*").alias("n"))

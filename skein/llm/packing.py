@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, rows_by_bytes, with_texts
+from skein.llm.common import Scratch, rows_by_bytes, tidy, with_texts
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs, and the most rounds of exchange.
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    todo = scratch.keep(with_texts(docs, "doc_id").mapInArrow(_cut(vocabulary), _PIECE), "pieces")
+    todo = scratch.keep(with_texts(docs, "doc_id").mapInArrow(tidy(_cut(vocabulary)), _PIECE), "pieces")
     done, old = [], None
     for turn in range(ROUNDS):
         n = todo.count()

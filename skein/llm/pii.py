@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import rows_by_bytes, with_texts
+from skein.llm.common import rows_by_bytes, tidy, with_texts
 from skein.llm.secrets import span_digest
 
 BASE = ("email", "ip", "card", "phone")
@@ -257,7 +257,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             got = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.as_py(), model)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got, span)], schema=schema)
 
-    return with_texts(docs, "doc_id").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return with_texts(docs, "doc_id").mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -282,12 +282,12 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     model = trained()
 
     def run(batches):
-        for batch in batches:
+        for batch in rows_by_bytes(batches, text="text"):
             i = batch.schema.get_field_index("text")
             texts = [None if t is None else redacted(t, found) if (found := scan(t.encode(), model)) else t for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
     return out

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import rows_by_bytes, with_texts
+from skein.llm.common import rows_by_bytes, tidy, with_texts
 
 #: Bound of the labelled rows that are fitted on, drawn by hash of the id, and of one row's features in the sample.
 SAMPLE = 4096
@@ -132,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: i
             got = [document_features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in got], pa.binary())], schema=schema)
 
-    rows = texts.select("doc_id", "_t", "quality").mapInArrow(run, "doc_id long, quality int, ids binary, counts binary").toPandas()
+    rows = texts.select("doc_id", "_t", "quality").mapInArrow(tidy(run), "doc_id long, quality int, ids binary, counts binary").toPandas()
     rows = rows.sort_values(["doc_id", "quality", "ids"], ignore_index=True)
     feats = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
     return SubwordClassifier().fit(feats, rows["quality"].to_numpy(np.int64))
@@ -153,7 +153,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
             scores = [scorer.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], schema=schema)
 
-    scored = with_texts(docs, "doc_id").mapInArrow(run, "doc_id long, score double")
+    scored = with_texts(docs, "doc_id").mapInArrow(tidy(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -163,11 +163,11 @@ def keep_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = 0
 
     def run(batches):
         scorer = Scorer(each, bias)
-        for batch in batches:
+        for batch in rows_by_bytes(batches, text="text"):
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([scorer.score((t.as_py() or "").encode()) >= threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable() -> Column:

@@ -10,7 +10,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import rows_by_bytes, with_texts
+from skein.llm.common import rows_by_bytes, tidy, with_texts
 
 KINDS = ("assign", "access", "hex", "literal")
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
@@ -118,7 +118,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             got = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(got, span)], schema=schema)
 
-    return with_texts(docs, "doc_id").mapInArrow(run, _OUT)
+    return with_texts(docs, "doc_id").mapInArrow(tidy(run), _OUT)
 
 
 def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

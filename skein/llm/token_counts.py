@@ -7,7 +7,7 @@ import functools
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import rows_by_bytes, with_texts
+from skein.llm.common import rows_by_bytes, tidy, with_texts
 
 SPACE = "▁"
 #: Below the lowest score by this much lies the score of a character that no piece covers.
@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             counts = [counter(vocabulary).count(t.as_py().decode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
-    return with_texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_tokens long")
+    return with_texts(docs, "doc_id").mapInArrow(tidy(run), "doc_id long, n_tokens long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
