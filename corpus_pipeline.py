@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.common import Scratch
 from skein.llm.minhash import near_duplicates
@@ -11,6 +12,9 @@ from skein.llm.packing import pack
 from skein.llm.pii import redact_pii
 from skein.llm.quality import fit_quality, keep_quality, learnable
 
+#: Up to so many ids, some 20 MB, go to where the texts are; beyond it both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. The score reads the text alone, so equal texts share their fate."""
@@ -21,11 +25,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles at similarity 0.8 link; of repeated rows of a doc_id one."""
     scratch = Scratch(spark, "kept")
     found = scratch.keep(near_duplicates(docs), "found")
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = scratch.keep(found.where("not kept").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    gone, again = scratch.keep(gone, "gone"), scratch.keep(again, "again")
+    again = scratch.keep(again, "again")
     stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
