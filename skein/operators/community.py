@@ -64,10 +64,34 @@ def weak_link_cut(parents: DataFrame, roots: DataFrame, seen: DataFrame, p: Sett
     return rows.join(cut, "root").join(degree, "node", "left").where(~heavy).select("node", "parent", "weight")
 
 
-def communities(edges: DataFrame, p: Settings) -> DataFrame:
-    """``node, thread_id`` of every document that has an edge; a thread is named by its root."""
+def prune(edges: DataFrame, p: Settings, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node, seen`` and the cut forest ``node, parent, weight``; nodes of ``before`` keep the place they were seen at."""
     edges = cut_lineage(edges)
     seen = first_seen(edges)
+    if before is not None:
+        seen = cut_lineage(before.select("node", "seen").unionByName(seen.join(before, "node", "left_anti").select("node", "seen")))
     parents = cut_lineage(best_parents(edges))
-    roots = forest_roots(seen, parents)
-    return forest_roots(seen, weak_link_cut(parents, roots, seen, p)).withColumnRenamed("root", "thread_id")
+    return seen, weak_link_cut(parents, forest_roots(seen, parents), seen, p)
+
+
+def communities(edges: DataFrame, p: Settings) -> DataFrame:
+    """``node, thread_id`` of every document that has an edge; a thread is named by its root."""
+    seen, forest = prune(edges, p)
+    return forest_roots(seen, forest).withColumnRenamed("root", "thread_id")
+
+
+def compose(graphs: list[DataFrame]) -> DataFrame:
+    """Edges ``src, dst`` of all graphs; one that several have takes the last one's attributes."""
+    rows = graphs[0].withColumn("_v", F.lit(0))
+    for v, g in enumerate(graphs[1:], 1):
+        rows = rows.unionByName(g.withColumn("_v", F.lit(v)))
+    others = [c for c in graphs[0].columns if c not in ("src", "dst")]
+    last = rows.groupBy("src", "dst").agg(F.max_by(F.struct(*others), "_v").alias("a")) if others else rows.select("src", "dst").distinct()
+    return last.select("src", "dst", *[F.col(f"a.{c}") for c in others])
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends in ``nodes(node)``."""
+    ids = nodes.select("node").distinct()
+    at = lambda c: ids.withColumnRenamed("node", c)
+    return edges.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi").select(*edges.columns)

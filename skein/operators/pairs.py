@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.plans.articles import Settings
@@ -59,17 +59,22 @@ def similar_pairs(articles: DataFrame, p: Settings, span: float | None = None, s
         reach = F.array(F.col("band"))
     most = rows.groupBy("part_id", "band").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-most // BLOCK))
+    if sources is None:
+        return _meet(rows, rows, keep, reach, salts, p)
+    ids = sources.select(F.col("doc_id").alias("_new")).distinct().withColumn("_fresh", F.lit(True))
+    rows = rows.join(ids, rows["doc_id"] == ids["_new"], "left")
+    fresh, past = rows.where("_fresh"), rows.where("_fresh is null")
+    return _meet(rows, fresh, keep, reach, salts, p).unionByName(_meet(fresh, past, keep, reach, salts, p))
+
+
+def _meet(s: DataFrame, t: DataFrame, keep: list[str], reach: Column, salts: int, p: Settings) -> DataFrame:
+    """Pairs with their earlier end in ``s`` and their later one in ``t``."""
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     own = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    s = rows.withColumn("band", F.explode(reach)).withColumn("x", own).withColumn("y", every).select(*keep, "band", "x", "y")
-    t = rows.withColumn("y", own).withColumn("x", every).select(*keep, "band", "x", "y")
+    s = s.withColumn("band", F.explode(reach)).withColumn("x", own).withColumn("y", every).select(*keep, "band", "x", "y")
+    t = t.withColumn("y", own).withColumn("x", every).select(*keep, "band", "x", "y")
     by = ["part_id", "band", "x", "y"]
-    pairs = _apart(s).groupBy(by).cogroup(_apart(t).groupBy(by)).applyInPandas(_kernel(p.alpha if p.td else None, p.w), PAIR)
-    if sources is not None:
-        ids = sources.select(F.col("doc_id").alias("_new")).distinct()
-        fresh = pairs.join(ids, pairs["src"] == ids["_new"], "left_semi").unionByName(pairs.join(ids, pairs["dst"] == ids["_new"], "left_semi"))
-        pairs = fresh.dropDuplicates(["src", "dst"])
-    return pairs
+    return _apart(s).groupBy(by).cogroup(_apart(t).groupBy(by)).applyInPandas(_kernel(p.alpha if p.td else None, p.w), PAIR)
 
 
 def _apart(df: DataFrame) -> DataFrame:
