@@ -68,6 +68,6 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``text_id, tokens``: lower-cased words of letters of each document, the first 200."""
+    """``text_id, tokens``: lower-cased words of letters of each document."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.slice(words, 1, 200).alias("tokens"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), words.alias("tokens"))

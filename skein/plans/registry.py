@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import kernels as K
 from skein.operators import community, entity_graph, metrics, pairs, text, threads, tuning
+from skein.plans import validation
 from skein.plans.articles import Settings, articles, entities, table, tokens, with_positions
 
 P = Settings()
@@ -24,7 +25,7 @@ a0 AS (SELECT e.vec_id AS doc_id, CAST(e.embedding AS DOUBLE[]) AS emb, e.label
 a AS (SELECT *, row_number() OVER (ORDER BY ts, doc_id) - 1 AS doc_pos, epoch_us(ts) / 1e6 AS sec FROM a0)"""),
     "ent": ("a", """ent AS (SELECT DISTINCT * FROM (SELECT event_id // k.stride AS doc_id, 'who' AS q, 'u' || user_id AS entity FROM events, k WHERE event_id % k.stride < 2 AND event_id // k.stride < (SELECT count(*) FROM embeddings)
 UNION ALL SELECT event_id // k.stride, 'where', 'k' || json_extract_string(props, '$.k') FROM events, k WHERE event_id % k.stride < 2 AND event_id // k.stride < (SELECT count(*) FROM embeddings)))"""),
-    "tok": ("", r"""tok AS (SELECT doc_id AS text_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')[1:200] AS tokens FROM documents)"""),
+    "tok": ("", r"""tok AS (SELECT doc_id AS text_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS tokens FROM documents)"""),
     "flat": ("a", "flat AS (SELECT s.doc_id AS src, t.doc_id AS dst, s.doc_pos AS src_pos, t.doc_pos AS dst_pos, 1 - list_dot_product(s.emb, t.emb) / sqrt(list_dot_product(s.emb, s.emb) * list_dot_product(t.emb, t.emb)) AS distance FROM a s JOIN a t ON s.doc_pos < t.doc_pos)"),
     "edges": ("flat", "edges AS (SELECT * FROM (SELECT f.src, f.dst, f.src_pos, f.dst_pos, 1 - (1 - f.distance) * exp(-3.0 * abs(s.sec - t.sec) / (SELECT max(sec) - min(sec) FROM a)) AS distance FROM flat f JOIN a s ON s.doc_id = f.src JOIN a t ON t.doc_id = f.dst) WHERE distance < 0.8)"),
     "parents": ("edges", "parents AS (SELECT dst AS node, arg_min(src, (distance, src_pos, src)) AS parent, min(distance) AS weight FROM edges WHERE distance <> 0 GROUP BY dst)"),
@@ -43,6 +44,27 @@ cut AS (SELECT pw.node, pw.parent, pw.weight FROM pw JOIN lim USING (root) LEFT
     "paths": ("shared", "hop AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM be x JOIN be y ON x.entity = y.entity AND x.doc_id <> y.doc_id), s0 AS (SELECT DISTINCT src FROM shared WHERE shared = 0), h1 AS (SELECT src, b, 1 AS h FROM s0 JOIN hop ON a = src), h2 AS (SELECT DISTINCT h1.src, hop.b, 2 AS h FROM h1 JOIN hop ON hop.a = h1.b), d0 AS (SELECT DISTINCT dst FROM shared WHERE shared = 0), g1 AS (SELECT dst, b, 1 AS h FROM d0 JOIN hop ON a = dst), g2 AS (SELECT DISTINCT g1.dst, hop.b, 2 AS h FROM g1 JOIN hop ON hop.a = g1.b), hs AS (SELECT src, b, min(h) AS h FROM (SELECT src, src AS b, 0 AS h FROM s0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY src, b), gs AS (SELECT dst, b, min(h) AS h FROM (SELECT dst, dst AS b, 0 AS h FROM d0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY dst, b), met AS (SELECT s.src, s.dst, min(2 * (hs.h + gs.h)) AS edges FROM shared s JOIN hs ON hs.src = s.src JOIN gs ON gs.dst = s.dst AND gs.b = hs.b WHERE s.shared = 0 GROUP BY s.src, s.dst), paths AS (SELECT s.src, s.dst, s.distance, s.shared, m.edges FROM shared s LEFT JOIN met m ON m.src = s.src AND m.dst = s.dst)"),
     "tfidf": ("tok", "tc AS (SELECT text_id, term, count(*) AS tf FROM (SELECT text_id, unnest(tokens) AS term FROM tok) GROUP BY ALL), nn AS (SELECT count(*) AS n FROM tok), tdf AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tc GROUP BY term HAVING count(*) <= 0.9 * (SELECT n FROM nn) ORDER BY cf DESC, term LIMIT 100000), tx AS (SELECT text_id, term, tf * (ln((1 + (SELECT n FROM nn))::DOUBLE / (1 + df)) + 1) AS x FROM tc JOIN tdf USING (term)), tfidf AS (SELECT text_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY text_id)) AS tfidf FROM tx)"),
     "grams": ("tok", "grams AS (SELECT text_id, gram, count(*) AS n FROM (SELECT text_id, unnest(flatten([list_transform(range(1, len(tokens) - m + 2), lambda i: array_to_string(tokens[i:i + m - 1], ' ')) for m in [1, 2, 3]])) AS gram FROM tok) GROUP BY ALL)"),
+    "keywords": ("members tfidf", """sz AS (SELECT thread_id, count(*) AS docs FROM members GROUP BY thread_id),
+r0 AS (SELECT m.thread_id, t.term, count(*) AS df, sum(t.tfidf) AS s FROM members m JOIN a USING (doc_id) JOIN tfidf t USING (text_id) GROUP BY ALL),
+r AS (SELECT thread_id, term, CASE WHEN df::DOUBLE / docs >= 0.9 THEN 0.0 ELSE df::DOUBLE / docs END AS x, s / docs AS y FROM r0 JOIN sz USING (thread_id)),
+l AS (SELECT thread_id, ln(sum(exp(x)) + (SELECT count(DISTINCT term) FROM tfidf) - count(*)) AS lx, ln(sum(exp(y)) + (SELECT count(DISTINCT term) FROM tfidf) - count(*)) AS ly FROM r GROUP BY thread_id),
+sc AS (SELECT thread_id, term, round(x - lx + y - ly, 9) AS score FROM r JOIN l USING (thread_id)),
+keywords AS (SELECT thread_id, CAST(rank AS INTEGER) AS rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY score DESC, term DESC) AS rank FROM sc) WHERE rank <= 3)"""),
+    "diversity": ("members grams", """own AS (SELECT m.thread_id, m.doc_id, g.gram, g.n FROM members m JOIN a USING (doc_id) JOIN grams g USING (text_id)), tot AS (SELECT thread_id, gram, sum(n) AS all_n FROM own GROUP BY ALL),
+e AS (SELECT m.thread_id, m.doc_id, coalesce(o.n, 0) AS n, t.all_n - coalesce(o.n, 0) AS q FROM members m JOIN tot t USING (thread_id) LEFT JOIN own o ON o.thread_id = m.thread_id AND o.doc_id = m.doc_id AND o.gram = t.gram WHERE t.all_n - coalesce(o.n, 0) > 0),
+z AS (SELECT thread_id, doc_id, sum(n) AS sp, sum(q) AS sq, sum(CASE WHEN n > 0 THEN n * ln(n / CAST(q AS DOUBLE)) END) AS s FROM e GROUP BY ALL),
+kl AS (SELECT m.thread_id, CASE WHEN sp > 0 THEN s / sp + ln(sq / CAST(sp AS DOUBLE)) ELSE 'nan'::DOUBLE END AS kl FROM members m LEFT JOIN z USING (thread_id, doc_id)),
+diversity AS (SELECT thread_id, avg(kl) AS diversity FROM kl GROUP BY thread_id)"""),
+    "coherence": ("keywords tok", """cw AS (SELECT DISTINCT thread_id, term FROM keywords),
+ct AS (SELECT m.doc_id, t.tokens, greatest(len(t.tokens) - 110, 0) AS last FROM members m JOIN a USING (doc_id) JOIN tok t USING (text_id) WHERE len(t.tokens) > 0),
+cp AS (SELECT doc_id, last, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS p FROM ct),
+win AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(p - 109, 0), least(p, last) + 1)) AS s FROM cp WHERE term IN (SELECT term FROM cw)),
+nw AS (SELECT sum(last + 1)::DOUBLE AS w FROM ct), one AS (SELECT term, count(*) AS n FROM win GROUP BY term),
+tp AS (SELECT DISTINCT x.term AS a, y.term AS b FROM cw x JOIN cw y USING (thread_id)),
+two AS (SELECT tp.a, tp.b, count(*) AS n FROM tp JOIN win x ON x.term = tp.a JOIN win y ON y.term = tp.b AND y.doc_id = x.doc_id AND y.s = x.s GROUP BY ALL),
+cell AS (SELECT x.thread_id, x.term AS a, y.term AS b, ln((coalesce(t.n, 0) / w + 1e-12) / (oa.n / w * (ob.n / w))) / -ln(coalesce(t.n, 0) / w + 1e-12) AS v FROM cw x JOIN cw y USING (thread_id) JOIN one oa ON oa.term = x.term JOIN one ob ON ob.term = y.term LEFT JOIN two t ON t.a = x.term AND t.b = y.term, nw),
+tot_v AS (SELECT thread_id, b, sum(v) AS s FROM cell GROUP BY ALL), tot_n AS (SELECT thread_id, sqrt(sum(s * s)) AS n FROM tot_v GROUP BY thread_id),
+coherence AS (SELECT thread_id, avg(r) AS coherence FROM (SELECT c.thread_id, c.a, sum(c.v * t.s) / sqrt(sum(c.v * c.v)) / any_value(n.n) AS r FROM cell c JOIN tot_v t ON t.thread_id = c.thread_id AND t.b = c.b JOIN tot_n n ON n.thread_id = c.thread_id GROUP BY c.thread_id, c.a) GROUP BY thread_id)"""),
 }
 
 
@@ -99,6 +121,11 @@ def _members(spark, sf_dir, p=P):
     return found.join(articles(spark, sf_dir).select("doc_id", "text_id"), "doc_id")
 
 
+def _measured(spark, sf_dir, p=P):
+    """The threads' summaries with ``coherence``, ``diversity`` and the keywords' weight."""
+    return validation.measured(articles(spark, sf_dir), _edges(spark, sf_dir, p), tokens(spark, sf_dir), p)
+
+
 # Order, dates, slices
 
 
@@ -193,9 +220,9 @@ def j3(spark, d):
     return pairs.similar_pairs(rows, P, sources=rows.where("doc_pos >= 400")).select("src", "dst", _r("distance"))
 
 
-@query("w10_clustering_affinity", "flat", "SELECT src, dst, CASE WHEN distance > 0.8 THEN 0.0 ELSE round(1 - distance, 6) END AS similarity FROM flat WHERE dst_pos < 200")
+@query("w10_clustering_affinity", "flat", "SELECT src, dst, CASE WHEN distance > 0.8 THEN 0.0 ELSE round(1 - distance, 6) END AS similarity FROM flat")
 def w10(spark, d):
-    found = pairs.similar_pairs(articles(spark, d).where("doc_pos < 200"), Settings(td=False, w=3.0))
+    found = pairs.similar_pairs(articles(spark, d), Settings(td=False, w=3.0))
     return found.select("src", "dst", F.when(F.col("distance") > 0.8, 0.0).otherwise(F.round(1 - F.col("distance"), 6)).alias("similarity"))
 
 
@@ -371,21 +398,12 @@ def t20(spark, d):
     return with_positions(terms, "term").select("term", (F.col("doc_pos") + 1).cast("int").alias("id"))
 
 
-@query("t13_thread_diversity", "members grams", """, own AS (SELECT m.thread_id, m.doc_id, g.gram, g.n FROM members m JOIN a USING (doc_id) JOIN grams g USING (text_id)), tot AS (SELECT thread_id, gram, sum(n) AS all_n FROM own GROUP BY ALL),
-e AS (SELECT m.thread_id, m.doc_id, coalesce(o.n, 0) AS n, t.all_n - coalesce(o.n, 0) AS q FROM members m JOIN tot t USING (thread_id) LEFT JOIN own o ON o.thread_id = m.thread_id AND o.doc_id = m.doc_id AND o.gram = t.gram WHERE t.all_n - coalesce(o.n, 0) > 0),
-z AS (SELECT thread_id, doc_id, sum(n) AS sp, sum(q) AS sq, sum(CASE WHEN n > 0 THEN n * ln(n / CAST(q AS DOUBLE)) END) AS s FROM e GROUP BY ALL),
-kl AS (SELECT m.thread_id, CASE WHEN sp > 0 THEN s / sp + ln(sq / CAST(sp AS DOUBLE)) ELSE 'nan'::DOUBLE END AS kl FROM members m LEFT JOIN z USING (thread_id, doc_id))
-SELECT thread_id, round(avg(kl), 6) AS diversity FROM kl GROUP BY thread_id""")
+@query("t13_thread_diversity", "diversity", "SELECT thread_id, round(diversity, 6) AS diversity FROM diversity")
 def t13(spark, d):
     return text.diversity(_members(spark, d), tokens(spark, d)).select("thread_id", _r("diversity"))
 
 
-@query("t8_thread_keywords", "members tfidf", """, sz AS (SELECT thread_id, count(*) AS docs FROM members GROUP BY thread_id),
-r0 AS (SELECT m.thread_id, t.term, count(*) AS df, sum(t.tfidf) AS s FROM members m JOIN a USING (doc_id) JOIN tfidf t USING (text_id) GROUP BY ALL),
-r AS (SELECT thread_id, term, CASE WHEN df::DOUBLE / docs >= 0.9 THEN 0.0 ELSE df::DOUBLE / docs END AS x, s / docs AS y FROM r0 JOIN sz USING (thread_id)),
-l AS (SELECT thread_id, ln(sum(exp(x)) + (SELECT count(DISTINCT term) FROM tfidf) - count(*)) AS lx, ln(sum(exp(y)) + (SELECT count(DISTINCT term) FROM tfidf) - count(*)) AS ly FROM r GROUP BY thread_id),
-sc AS (SELECT thread_id, term, round(x - lx + y - ly, 9) AS score FROM r JOIN l USING (thread_id))
-SELECT thread_id, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY score DESC, term DESC) AS rank FROM sc) WHERE rank <= 3""")
+@query("t8_thread_keywords", "keywords", "SELECT thread_id, rank, term, round(score, 6) AS score FROM keywords")
 def t8(spark, d):
     return text.keywords(_members(spark, d), tokens(spark, d)).select("thread_id", "rank", "term", _r("score"))
 
@@ -403,14 +421,17 @@ def a11(spark, d):
     return tuning.grid(spark)
 
 
-@query("a10_grid_search", "threads", """, g AS (SELECT l[1] AS l_lo, l[2] AS l_hi, s[1] AS s_lo, s[2] AS s_hi, 0 AS d_lo, d AS d_hi FROM (SELECT unnest([[3, 5], [3, 10], [3, 20], [3, 30], [3, 40], [3, 50], [3, 60], [3, 70], [3, 80], [3, 90], [3, 100]]) AS l), (SELECT unnest([[0::DOUBLE, 1], [0.1, 0.9], [0.2, 0.8], [0.3, 0.7], [0.4, 0.6]]) AS s), (SELECT unnest([30, 60, 90, 120, 180, 365]) AS d))
-SELECT l_lo, l_hi, s_lo, s_hi, d_lo, d_hi, count(*) AS n_threads, round(avg(similarity), 6) AS coherence FROM threads JOIN g ON length BETWEEN l_lo AND l_hi AND span_days BETWEEN d_lo AND d_hi AND NOT isnan(similarity) AND similarity BETWEEN s_lo AND s_hi GROUP BY ALL""")
+@query("a10_grid_search", "threads coherence diversity", """, g AS (SELECT l[1] AS l_lo, l[2] AS l_hi, s[1] AS s_lo, s[2] AS s_hi, 0 AS d_lo, d AS d_hi FROM (SELECT unnest([[3, 5], [3, 10], [3, 20], [3, 30], [3, 40], [3, 50], [3, 60], [3, 70], [3, 80], [3, 90], [3, 100]]) AS l), (SELECT unnest([[0::DOUBLE, 1], [0.1, 0.9], [0.2, 0.8], [0.3, 0.7], [0.4, 0.6]]) AS s), (SELECT unnest([30, 60, 90, 120, 180, 365]) AS d)),
+m AS (SELECT t.*, c.coherence, CASE WHEN isfinite(v.diversity) THEN v.diversity END AS diversity FROM threads t LEFT JOIN coherence c USING (thread_id) LEFT JOIN diversity v USING (thread_id))
+SELECT l_lo, l_hi, s_lo, s_hi, d_lo, d_hi, count(*) AS n_threads, round(avg(coherence), 6) AS coherence, count(*) - count(coherence) AS bad_coherence, round(avg(diversity), 6) AS diversity, count(*) - count(diversity) AS bad_diversity FROM m JOIN g ON length BETWEEN l_lo AND l_hi AND span_days BETWEEN d_lo AND d_hi AND NOT isnan(similarity) AND similarity BETWEEN s_lo AND s_hi GROUP BY ALL""")
 def a10(spark, d):
-    rows = threads.summary(_ordered(spark, d)).withColumn("coherence", F.col("similarity")).withColumn("diversity", F.col("similarity"))
-    found = tuning.grid_search(rows, tuning.grid(spark))
-    return found.select("l_lo", "l_hi", "s_lo", "s_hi", "d_lo", "d_hi", "n_threads", _r("coherence"))
+    found = tuning.grid_search(_measured(spark, d), tuning.grid(spark))
+    return found.select("l_lo", "l_hi", "s_lo", "s_hi", "d_lo", "d_hi", "n_threads", _r("coherence"), "bad_coherence", _r("diversity"), "bad_diversity")
 
 
 @query("t21_story_sample", "", None)
 def t21(spark, d):
     return tuning.sample_stories(articles(spark, d).select("doc_id", "story_id"), 50)
+
+
+from skein.plans import inventory  # noqa: E402, F401  registers the queries of single operators

@@ -38,13 +38,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df):
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: that of ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="skein-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
