@@ -103,8 +103,8 @@ def p16(spark, d):
 
 def _from_first(spark, d):
     rows = articles(spark, d)
-    one = rows.where("doc_pos = 0").select(F.col("emb").alias("emb0"), F.col("sec").alias("sec0"))
-    return rows.crossJoin(F.broadcast(one.crossJoin(rows.agg((F.max("sec") - F.min("sec")).alias("span")))))  # one row
+    one = rows.agg(F.min_by("emb", "doc_pos").alias("emb0"), F.min_by("sec", "doc_pos").alias("sec0"), (F.max("sec") - F.min("sec")).alias("span"))
+    return rows.crossJoin(F.broadcast(one))  # one row
 
 
 _FIRST = "z AS (SELECT a.doc_id, list_dot_product(a.emb, f.emb) / sqrt(list_dot_product(a.emb, a.emb) * list_dot_product(f.emb, f.emb)) AS c, exp(-3.0 * abs(a.sec - f.sec) / (SELECT max(sec) - min(sec) FROM a)) AS d FROM a, (SELECT * FROM a WHERE doc_pos = 0) f)"
