@@ -197,7 +197,7 @@ def a8(spark, d):
     return threads.select(threads.summary(R._ordered(spark, d)), P).agg(F.round(F.avg("similarity"), 6).alias("cos"))
 
 
-@query("a14_mean_tfidf", "members tfidf", "SELECT thread_id, term, round(sum(tfidf) / (SELECT count(*) FROM members n WHERE n.thread_id = m.thread_id), 6) AS mean, count(*) AS df FROM members m JOIN a USING (doc_id) JOIN tfidf USING (text_id) GROUP BY thread_id, term")
+@query("a14_mean_tfidf", "members tfidf", ", sz AS (SELECT thread_id, count(*) AS docs FROM members GROUP BY thread_id) SELECT m.thread_id, t.term, round(sum(t.tfidf) / any_value(sz.docs), 6) AS mean, count(*) AS df FROM members m JOIN a USING (doc_id) JOIN tfidf t USING (text_id) JOIN sz ON sz.thread_id = m.thread_id GROUP BY m.thread_id, t.term")
 def a14(spark, d):
     members = R._members(spark, d)
     size = members.groupBy("thread_id").agg(F.count("*").alias("docs"))
