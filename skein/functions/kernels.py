@@ -13,9 +13,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """L2-normalised; a zero vector stays zero."""
+    """L2-normalised; a zero vector stays zero. The norm is bound once, not computed anew for each component."""
     norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)
+    return F.when(norm > 0, F.transform(F.array(norm), lambda n: F.transform(a, lambda x: x / n))[0]).otherwise(a)
 
 
 def cosine(a: Column, b: Column) -> Column:
