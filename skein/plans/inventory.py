@@ -160,6 +160,11 @@ def g17(spark, d):
     return modularity.modularity_communities(R._edges(spark, d))
 
 
+@query("g17_leiden", "", None)
+def g17_leiden(spark, d):
+    return modularity.modularity_communities(R._edges(spark, d), method="leiden")
+
+
 @query("g18_induced_edges", "edges", "SELECT src, dst FROM edges WHERE src IN (SELECT doc_id FROM a WHERE story_id < 5) AND dst IN (SELECT doc_id FROM a WHERE story_id < 5)")
 def g18(spark, d):
     nodes = articles(spark, d).where("story_id < 5").select(F.col("doc_id").alias("node"))
