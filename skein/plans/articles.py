@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -36,13 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
     """Adds ``doc_pos``, the dense rank in the given total order from 0, without gathering the rows in one task.
 
-    Rows are dealt by range; a window numbers each partition and only the partitions' counts are summed up in one place.
+    Rows are dealt by range and written once with their partition's number: dealt twice, other columns may give other
+    partitions. A window numbers each partition and only the partitions' counts are summed up in one place.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(spread, *order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("_p"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(before, "_p").withColumn("doc_pos", (F.col("_before") + F.col("_own")).cast("long")).drop("_p", "_own", "_before")
+    start = F.coalesce(F.col("_before"), F.raise_error(F.lit("a partition of the dealt rows has no count")).cast("long"))
+    return dealt.withColumn("_own", own).join(before, "_p", "left").withColumn("doc_pos", (start + F.col("_own")).cast("long")).drop("_p", "_own", "_before")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import community, metrics, pairs, text, tuning
 from skein.plans import registry
-from skein.plans.articles import Settings
+from skein.plans.articles import Settings, articles
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +101,15 @@ def test_diversity(spark):
 
 def test_grid_sizes(spark):
     assert tuning.grid(spark).count() == 330 and tuning.grid(spark, quick=False).count() == 1650
+
+
+def test_positions_over_several_partitions(spark, tmp_path):
+    n, d = 50_000, str(tmp_path)
+    when = F.timestamp_seconds(F.lit(1.6e9) + F.col("id") * 7919 % (2 * n))
+    spark.range(2 * n).select(F.col("id").alias("event_id"), when.alias("ts")).write.parquet(f"{d}/events.parquet")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.xxhash64("id", k) % 1000).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), vector.alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{d}/embeddings.parquet")
+    spark.range(100).select(F.col("id").alias("doc_id")).write.parquet(f"{d}/documents.parquet")
+    rows = articles(spark, d).select("doc_id", "doc_pos", F.size("emb")).collect()
+    order = sorted(range(n), key=lambda i: (2 * i * 7919 % (2 * n), i))
+    assert sorted((r["doc_pos"], r["doc_id"]) for r in rows) == list(enumerate(order))
