@@ -328,6 +328,12 @@ def test_lexing_follows_names():
     assert secrets.lexed_literals('password = "${PASSWORD}" token = "changeme123"') == []
 
 
+@pytest.mark.parametrize("name", ["db_pwd", "pass_phrase", "private_key", "encryption_key", "credentials"])
+def test_unquoted_pairs_are_lexed(name):
+    t = f"settings\n{name}: Tr0ub4dor9xQ7\n"
+    assert [t[a:b] for k, a, b in secrets.scan(t.encode()) if k == "literal"] == ["Tr0ub4dor9xQ7"]
+
+
 def test_model_adds_spans():
     t = "Please mail me at jo.doe [at] host [dot] org or phone 403-555-9312, not 000-00-0000."
     kinds = [k for k, _, _ in pii.scan(t.encode(), pii.trained())]
