@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,14 +20,19 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_BYTES = re.compile(rb"[0-9a-f]{24}")
-#: A name, an assignment mark, and a right-hand side that begins with a literal or another name.
-_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]{0,80}"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{{0,8}}(?:"((?:[^"\\\n]|\\.){{1,512}})"|'((?:[^'\\\n]|\\.){{1,512}})'|([A-Za-z0-9+/_.$=-]{{1,512}}))""", re.ASCII)
-_JOIN = re.compile(r"""[ \t]{0,8}(?:\+|\.\.?)[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){1,512})"|'((?:[^'\\\n]|\\.){1,512})'|([A-Za-z_$][A-Za-z0-9_$.-]{0,80}))""", re.ASCII)
+#: A name, an assignment mark, and a right-hand side that begins with a literal or another name. Repeats are possessive, so
+#: they need no bound to stay linear.
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.-]*+"
+_QUOTED = r"""(?:"((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'|"""
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_$.-])["']?({_NAME})["']?(?:\[["']?({_NAME})["']?\])?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+{_QUOTED}([A-Za-z0-9+/_.$=-]++))""", re.ASCII)
+_JOIN = re.compile(rf"""[ \t]*+(?:\+|\.\.?)[ \t]*+{_QUOTED}({_NAME}))""", re.ASCII)
 #: Parts of sensitive names and their weights, and words that mark a stand-in.
 _SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 2.5, "token": 2.0, "apikey": 2.5, "credential": 2.0, "credentials": 2.0, "auth": 1.5, "authorization": 2.0, "bearer": 2.0, "private": 1.5, "key": 1.0, "access": 1.0, "signing": 1.0, "encryption": 1.0, "salt": 1.0, "client": 0.3, "api": 0.7}
 _HARMLESS = {"public": -2.0, "id": -1.0, "name": -1.0, "type": -1.5, "url": -1.5, "path": -1.5, "file": -1.0, "length": -2.0, "count": -2.0, "max": -1.5, "tokens": -2.0, "expiry": -1.5, "hint": -1.0, "field": -1.0, "header": -1.0}
-_STANDIN = re.compile(r"\$\{|\{\{|<[a-z]|^(?:x+|\*+|\.+)$|change.?me|example|placeholder|your[_-]|dummy|^(?:true|false|null|none|undefined|self|this|string|str|int)$|os\.|getenv|environ|process\.", re.IGNORECASE | re.ASCII)
+_STANDIN_PART = re.compile(r"\$\{|\{\{|<[a-z]|change.?me|example|placeholder|your[_-]|dummy|os\.|getenv|environ|process\.", re.IGNORECASE | re.ASCII)
+_STANDIN_WHOLE = re.compile(r"(?:x+|\*+|\.+|true|false|null|none|undefined|self|this|string|str|int)", re.IGNORECASE | re.ASCII)
+#: Characters kept of a joined value's ends: more than any stand-in is long, those of one repeated character aside.
+_EDGE = 16
 LEAST_SCORE = 3.5
 
 
@@ -41,43 +47,104 @@ def name_score(name: str) -> float:
     return sum(_SENSITIVE.get(p, 0.0) + _HARMLESS.get(p, 0.0) for p in set(both))
 
 
-def literal_score(text: str) -> float:
-    """Length, variety of characters and entropy speak for a secret; stand-ins, prose and plain words against."""
-    if len(text) < 6 or _STANDIN.search(text):
-        return -9.0
-    n = len(text)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    return min(2.0, n / 16) + max(-1.0, min(2.0, entropy - 2.5)) + 0.5 * (kinds - 2) - 1.5 * text.count(" ")
+@dataclass(slots=True)
+class Stats:
+    """What the score of a joined text needs of it; a join adds its parts' stats and looks at the seam."""
+
+    n: int = 0
+    spaces: int = 0
+    standin: bool = False
+    head: str = ""
+    tail: str = ""
+    counts: dict[str, float] = field(default_factory=dict)
+
+    def add(self, other: Stats) -> None:
+        self.standin = self.standin or other.standin or _STANDIN_PART.search(self.tail + other.head) is not None
+        self.head, self.tail = (self.head + other.head)[:_EDGE], (self.tail + other.tail)[-_EDGE:]
+        # beyond these bounds the score stays the same; shares of characters are kept when constants double on and on
+        self.n, self.spaces = min(self.n + other.n, 1 << 60), min(self.spaces + other.spaces, 1 << 20)
+        for c, k in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0.0) + k
+        if (total := sum(self.counts.values())) > 1e200:
+            self.counts = {c: k / total for c, k in self.counts.items()}
+
+    def score(self) -> float:
+        """Length, variety of characters and entropy speak for a secret; stand-ins, prose and plain words against."""
+        alike = self.counts.keys() <= {"x", "X"} or len(self.counts) == 1 and self.head[0] in "*."
+        if self.n < 6 or self.standin or alike or (self.n <= _EDGE and _STANDIN_WHOLE.fullmatch(self.head)):
+            return -9.0
+        total, seen = sum(self.counts.values()), "".join(self.counts)
+        shares = [k / total for k in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p > 0)
+        kinds = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+        return min(2.0, self.n / 16) + max(-1.0, min(2.0, entropy - 2.5)) + 0.5 * (kinds - 2) - 1.5 * self.spaces
+
+
+def text_stats(text: str) -> Stats:
+    return Stats(len(text), text.count(" "), _STANDIN_PART.search(text) is not None, text[:_EDGE], text[-_EDGE:], dict(Counter(text)))
+
+
+@dataclass(slots=True, eq=False)
+class Value:
+    """A right-hand side: its parts are literals (start, end, text) or the values that names held; shared, never unfolded."""
+
+    parts: list[tuple[int, int, str] | Value]
+    stats: Stats | None = None
+
+    def measured(self) -> Stats:
+        stack = [self]
+        while stack:
+            top = stack[-1]
+            if top.stats is None:
+                if missing := [p for p in top.parts if isinstance(p, Value) and p.stats is None]:
+                    stack += missing
+                    continue
+                top.stats = Stats()
+                for p in top.parts:
+                    top.stats.add(p.stats if isinstance(p, Value) else text_stats(p[2]))
+            stack.pop()
+        return self.stats
+
+    def take_spans(self, found: set[tuple[int, int]]) -> None:
+        """Adds the spans of all literals below; a value gives its parts up, so each is walked once."""
+        stack = [self]
+        while stack:
+            top = stack.pop()
+            parts, top.parts = top.parts, []
+            for p in parts:
+                if isinstance(p, Value):
+                    stack.append(p)
+                else:
+                    found.add(p[:2])
 
 
 def lexed_literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose name, or a name that they reach through other names, is sensitive enough."""
-    known: dict[str, list[tuple[int, int, str]]] = {}  # constants: the literals that a name holds
-    found = set()
+    known: dict[str, Value] = {}  # constants: the value that a name holds
+    found: set[tuple[int, int]] = set()
     for m in _PAIR.finditer(text):
         name = m[2] or m[1]
-        parts: list[tuple[int, int, str]] = []
+        parts: list[tuple[int, int, str] | Value] = []
 
         def take(quoted1, quoted2, bare, match, parts=parts):
             group = quoted1 if match[quoted1] is not None else quoted2 if match[quoted2] is not None else bare
             value = match[group]
             if group == bare and value in known:
-                parts += known[value]
+                parts.append(known[value])
             elif group != bare or not re.fullmatch(r"[A-Za-z_$.]*", value):
                 parts.append((match.start(group), match.end(group), value))
 
         take(3, 4, 5, m)
         at = m.end()
-        while (j := _JOIN.match(text, at)) and len(parts) < 64:
+        while j := _JOIN.match(text, at):
             take(1, 2, 3, j)
             at = j.end()
         if not parts:
             continue
-        known[name] = parts[:64]
+        known[name] = value = Value(parts)
         score = name_score(f"{m[1]}.{m[2]}" if m[2] else name)
-        if score > 0 and score + literal_score("".join(p[2] for p in parts)) >= LEAST_SCORE:
-            found.update((a, b) for a, b, _ in parts)
+        if score > 0 and score + value.measured().score() >= LEAST_SCORE:
+            value.take_spans(found)
     return sorted(found)
 
 

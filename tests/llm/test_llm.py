@@ -328,6 +328,24 @@ def test_lexing_follows_names():
     assert secrets.lexed_literals('password = "${PASSWORD}" token = "changeme123"') == []
 
 
+KEY = hashlib.sha512(b"k").hexdigest() * 13 + "Zq9"
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    (f'private_key = "{KEY}"', [KEY]),
+    (f"bearer_token: '{KEY}'", [KEY]),
+    (f"private_key = {KEY}", [KEY]),
+    (f'db_pwd{" " * 30}={" " * 30}"Zk9!vQ2m8X"', ["Zk9!vQ2m8X"]),
+    (f'{"section." * 20}password = "Zk9!vQ2m8X"', ["Zk9!vQ2m8X"]),
+    ("password = " + " + ".join(f'"Zk9{i:03}"' for i in range(100)), [f"Zk9{i:03}" for i in range(100)]),
+    ('v = "Zk9!vQ2m"\n' + "v = v + v\n" * 3000 + "password = v", ["Zk9!vQ2m"]),
+    ('v = "Zk9!vQ2m"\n' + 'v = v + "8X"\n' * 3000 + "password = v", ["Zk9!vQ2m"] + ["8X"] * 3000),
+    ('password = "Zk9!vQ2m8XQQQQQQQQQQchange" + "me"', []),
+], ids=["quoted", "bearer", "bare", "blanks", "name", "joined", "doubled", "grown", "stand-in"])
+def test_long_secrets_are_whole(text, found):
+    assert [text[a:b] for a, b in secrets.lexed_literals(text)] == found
+
+
 @pytest.mark.parametrize("name", ["db_pwd", "pass_phrase", "private_key", "encryption_key", "credentials"])
 def test_unquoted_pairs_are_lexed(name):
     t = f"settings\n{name}: Tr0ub4dor9xQ7\n"
