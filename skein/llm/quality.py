@@ -17,14 +17,44 @@ from skein.llm.common import rows_by_bytes, tidy, with_texts
 SAMPLE = 4096
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 CHARS = (3, 4)
-_CACHE_WORDS = 200_000
+#: Words kept by a scorer and the bytes of the longest that is kept; a long word's characters, and those taken at once.
+_CACHE_WORDS, _CACHE_BYTES = 200_000, 256
+_LONG, _WINDOW = 66, 1 << 16
+
+
+def window_buckets(text: str, n: int, most: int) -> np.ndarray:
+    """Buckets of the first ``most`` n-grams of a text: xxh32 of inputs under 16 bytes, all n-grams of one length at once."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    begin = at[:-n][:most]
+    size, out, u = at[n:][:most] - begin, np.empty(len(begin), np.int64), np.uint32
+    p1, p2, p3, p4, p5 = map(u, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
+    for length in np.unique(size).tolist():
+        which = np.flatnonzero(size == length)
+        start = begin[which]
+        if length >= 16:  # four characters beyond the basic plane
+            out[which] = [xxhash.xxh32_intdigest(raw[s : s + length].tobytes()) % BUCKETS for s in start.tolist()]
+            continue
+        h, b = np.full(len(which), int(p5) + length, u), [raw[start + k].astype(u) for k in range(length)]
+        for k in range(0, length - 3, 4):
+            h = turn(h + (b[k] | b[k + 1] << u(8) | b[k + 2] << u(16) | b[k + 3] << u(24)) * p3, 17) * p4
+        for k in range(length // 4 * 4, length):
+            h = turn(h + b[k] * p5, 11) * p1
+        h = (h ^ (h >> u(15))) * p2
+        h = (h ^ (h >> u(13))) * p3
+        out[which] = (h ^ (h >> u(16))) % u(BUCKETS)
+    return out
 
 
 def word_features(word: bytes) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, with marked ends."""
-    w = ("<" + word.decode("utf-8", "replace") + ">")
-    if len(w) > 66:  # no real word: its ends and its length class
-        w = w[:32] + f"~{len(w).bit_length()}~" + w[-32:]
+    """Buckets of a word and of all its character n-grams, with marked ends; text without spaces is one long word."""
+    w = "<" + word.decode("utf-8", "replace") + ">"
+    if len(w) > _LONG:
+        parts = [np.array([xxhash.xxh32_intdigest(word) % BUCKETS])]
+        for at in range(0, len(w), _WINDOW):  # n-grams by where they begin, so that few are held at once
+            parts += [window_buckets(w[at : at + _WINDOW + n - 1], n, _WINDOW) for n in CHARS]
+        return np.concatenate(parts)
     grams = [word] + [w[i : i + n].encode() for n in CHARS for i in range(max(0, len(w) - n + 1))]
     return np.fromiter((xxhash.xxh32_intdigest(g) % BUCKETS for g in grams), np.int64, len(grams))
 
@@ -104,10 +134,12 @@ class Scorer:
         for w in words:
             got = kept.get(w)
             if got is None:
-                if len(kept) >= _CACHE_WORDS:
-                    kept.clear()
                 ids = word_features(w)
-                kept[w] = got = (float(self.each[ids].sum()), len(ids))
+                got = (float(self.each[ids].sum()), len(ids))
+                if len(w) <= _CACHE_BYTES:
+                    if len(kept) >= _CACHE_WORDS:
+                        kept.clear()
+                    kept[w] = got
             total += got[0]
             n += got[1]
         if len(words) > 1:

@@ -202,6 +202,32 @@ def test_quality_odd(spark, data):
     assert quality.score_quality(no_docs(spark), quality.fit_quality(no_docs(spark), labels, F.lit(True))).count() == 0
 
 
+def unspaced(rng, label):
+    """Text without spaces whose middle alone tells its label."""
+    return ("始" * 100 + "".join(rng.choice(list("好書文章" if label else "廣告垃圾"), 60)) + "終" * 100).encode()
+
+
+def test_quality_reads_the_middle_of_unspaced_text():
+    rng = np.random.default_rng(0)
+    labels = np.arange(1000) % 2
+    model = quality.SubwordClassifier().fit([quality.document_features(unspaced(rng, k)) for k in labels], labels)
+    scorer = quality.Scorer(*model.contributions())
+    scores = np.array([scorer.score(unspaced(rng, k)) for k in labels[:60]])
+    assert scores[1::2].min() > scores[::2].max()
+
+
+def test_quality_long_word_has_all_its_ngrams(monkeypatch):
+    import xxhash
+
+    word = "".join(np.random.default_rng(1).choice(list("aZ9é書😀"), 500))
+    w = f"<{word}>"
+    grams = [word] + [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+    want = sorted(xxhash.xxh32_intdigest(g.encode()) % quality.BUCKETS for g in grams)
+    for size in (1, 7, 100, 501, 502, 1 << 16):
+        monkeypatch.setattr(quality, "_WINDOW", size)
+        assert sorted(quality.word_features(word.encode())) == want
+
+
 # 6
 
 
