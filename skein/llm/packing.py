@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 from skein.llm.common import Scratch, rows_by_bytes, tidy, with_texts
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces that one task packs, and the most rounds of exchange.
-ITEMS, ROUNDS = 100_000, 4
-_CACHE_WORDS = 300_000
+#: Pieces that one task packs.
+ITEMS = 100_000
+#: Words that a worker keeps, and the characters of the longest that it keeps.
+_CACHE_WORDS, _CACHE_CHARS = 300_000, 64
+#: Latin letters and signs that lower-case to one character which is among them too.
+_LATIN = "".join(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and 0xA1 <= ord(c.lower()) < 0x250)
 #: Texts of these characters alone are split here; any other text goes to the tokenizer whole. None of them changes under
-#: NFC, each lower-cases to one character, and white space among them is ASCII.
-_OTHER = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ɏ‐-‧€]|<\\|")
+#: NFC, each lower-cases to one of them, and white space among them is ASCII.
+_OTHER = re.compile(f"[^\t\n\x0b\x0c\r -~{re.escape(_LATIN)}‐-‧€]|<\\|")
 #: The vocabulary's own word pattern, for lower-cased texts of those characters.
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\sa-z0-9ª²³µ¹º¼-¾À-ÖØ-öø-ɏ]+")
 
@@ -50,17 +54,23 @@ class WordEncoder:
                 new.append(w)
             else:
                 kept[w] = ids
+        unsure = set()
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary doesn't end each word with an end-of-word piece")
+            if len(cuts) != len(part) or len(ids) != cuts[-1]:  # words of another vocabulary don't end so: their texts go whole
+                unsure.update(part)
+                continue
             raw = ids.tobytes()
             for w, a, b in zip(part, np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
                 kept[w] = raw[4 * a : 4 * b]
         get = kept.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        out = [self.whole(t) if words is None or not unsure.isdisjoint(words) else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        for w in new:
+            if len(w) > _CACHE_CHARS:
+                kept.pop(w, None)
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -154,7 +164,7 @@ def _pack_group(turn: int):
         open_bins = fill < CAPACITY
         if len(fill) == lower_bound(sizes):  # certified: only its least filled bin may still help others
             open_bins &= np.arange(len(fill)) == fill.argmin()
-        seq = (turn << 58) | (group << 26)
+        seq = (turn << 52) | (group << 26)
         return pdf.drop(columns="g").assign(sequence_id=seq + where, offset=offset, exchange=open_bins[where])
 
     return run
@@ -170,13 +180,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Pieces are dealt at random to groups of about ITEMS, and each is packed by best-fit decreasing. A group whose number of
     bins equals its lower bound is certified. The others exchange what lies in bins that aren't full, also with each
-    certified group's least filled bin, and are packed again as long as that saves bins.
+    certified group's least filled bin, and are packed again until a round saves no bin or none can be saved by volume.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     todo = scratch.keep(with_texts(docs, "doc_id").mapInArrow(tidy(_cut(vocabulary)), _PIECE), "pieces")
     done, old = [], None
-    for turn in range(ROUNDS):
+    for turn in itertools.count():
         n = todo.count()
         groups = max(1, -(-n // ITEMS))
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
@@ -187,8 +197,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             break
         done.append(new.where("not exchange"))
         left = new.where("exchange")
-        old = left, left.agg(F.count_distinct("sequence_id")).first()[0]
-        if old[1] <= 1 or turn == ROUNDS - 1:
+        old = left, *left.agg(F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if old[1] <= max(1, -(-old[2] // CAPACITY)):  # none can be saved
             done.append(left)
             break
         todo = left.drop("sequence_id", "offset", "exchange")

@@ -243,6 +243,39 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3
 
 
+ENCODER = packing.WordEncoder(packing.default_vocabulary())
+
+
+def test_ids_of_every_character():
+    """Each character of the basic plane alone, after punctuation, between letters and amid capitals, as the tokenizer has it."""
+    for start in range(0, 0x10000, 4096):
+        texts = [f.format(chr(c)) for c in range(start, start + 4096) if not 0xD800 <= c < 0xE000 for f in ("{}", "({}li)", "a{}c", "HE{}AKI B", "1 !{}")]
+        for t, ids in zip(texts, ENCODER.encode(texts), strict=True):
+            assert ids == ENCODER.whole(t), ascii(t)
+
+
+@pytest.mark.parametrize("text", ["(Əli)", "!Ɔ", "Ɗan", "aƁc", "HELLO ƁAKI", "ȺB", "x" * 500 + " y", "it's <|endoftext|> <|", "ſtraße ǅ ŉ"])
+def test_ids_of_odd_texts(text):
+    assert ENCODER.encode([text, "plain"]) == [ENCODER.whole(text), ENCODER.whole("plain")]
+    assert all(len(w) <= packing._CACHE_CHARS for w in ENCODER.kept)
+
+
+def test_ids_of_a_vocabulary_without_word_ends():
+    import public_tokenizers
+
+    other = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert other.encode(["Two words, no ends.", ""]) == [other.whole("Two words, no ends."), b""]
+
+
+def test_packing_goes_on_while_it_saves(spark, monkeypatch):
+    """Groups of a few pieces each leave gaps, which more rounds than a fixed few close."""
+    monkeypatch.setattr(packing, "ITEMS", 12)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(900 + id * 37 % 1500 as int))").alias("text"))
+    got = packing.pack(docs).toPandas()
+    assert got.length.sum() == sum(901 + i * 37 % 1500 for i in range(400)) and got.groupby("sequence_id").length.sum().max() <= 4096
+    assert got.sequence_id.nunique() <= 1.1 * packing.lower_bound(got.length.to_numpy())
+
+
 def test_packing(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS", 60)
     from tokenizers import Tokenizer
