@@ -155,9 +155,11 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_col: str
 
     Returns one row per input row: ``vec_id long, n_links long, component_id long, kept boolean``. Vectors that are null,
     empty, zero or hold null or non-finite components, and rows with a null id, link with nothing (component: own id; a null
-    id is kept). Repeated vectors link with each other; shorter vectors are read as padded with zeros. Other columns are not read.
+    id is kept). Repeated vectors link with each other; shorter vectors are read as padded with zeros. A vec_id that repeats
+    with other vectors has all their links: its rows share a component, each with the number of links of its own vector.
+    Other columns are not read.
 
-    Equal vectors collapse to their smallest id, counted by their number. Centers and codebooks are fitted on at most SAMPLE
+    Equal vectors collapse to one, counted by their number. Centers and codebooks are fitted on at most SAMPLE
     vectors; every vector is then assigned, coded and compared. Visits to other lists follow SIGMAS: this alone can lose a
     link (measured recall: README); tables and rerank lose none. Long lists are cut into chunks, and a group of chunks
     returns counts and a star for each linked set, never its pairs.
@@ -165,8 +167,11 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_col: str
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = rows.where(F.col("vec_id").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0))
-    reps = scratch.keep(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")), "reps")
+    may_link = F.coalesce(F.col("vec_id").isNotNull() & usable("vec") & F.exists("vec", lambda x: x != 0), F.lit(False))
+    good = rows.where(may_link)
+    # ``least`` is the smallest vec_id of the vector, ``id`` a number of its own
+    reps = good.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("id", F.monotonically_increasing_id())
+    reps = scratch.keep(reps, "reps")
     n, dim = reps.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     if n:
         lists = int(min(MAX_LISTS, max(1, np.sqrt(n))))
@@ -191,14 +196,21 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, id_col: str
         scratch.drop("dealt")
     else:
         got = spark.createDataFrame([], "id long, n long, other long")
-    components = connected_components(got, scratch, "id", "other")
+    edges, own = got.select("id", "other"), scratch.again(reps, "reps")
+    several = good.select("vec_id", F.xxhash64("vec").alias("h")).groupBy("vec_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("vec_id")
+    if not several.isEmpty():  # vectors of one vec_id are tied
+        tied = scratch.keep(good.join(several, "vec_id", "left_semi").join(own.select("vec", "id"), "vec").select("vec_id", "id").distinct(), "tied")
+        edges = edges.unionByName(tied.join(tied.groupBy("vec_id").agg(F.min("id").alias("other")), "vec_id").select("id", "other"))
+    components = scratch.keep(connected_components(edges, scratch, "id", "other").withColumnRenamed("node", "id"), "components")
+    names = components.join(own.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("c"))
     links = got.groupBy("id").agg(F.sum("n").alias("n"))
-    classes = reps.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.where("n is not null or mult > 1")
-    classes = scratch.keep(classes.select("vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("c")), "classes")
-    linked = good.join(classes, "vec").select("vec_id", "n_links", F.col("c").alias("component_id"))
-    alone = rows.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    classes = reps.join(links, "id", "left").join(components.join(names, "component").select("id", "c"), "id", "left")
+    classes = classes.where("n is not null or c is not null or mult > 1")
+    classes = scratch.keep(classes.select("vec", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "least").alias("c")), "classes")
+    out = ["vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")]
+    none = rows.where(~may_link).select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("c"))
+    found = good.join(classes, "vec", "left").select("vec_id", "n_links", "c").unionByName(none).select(*out)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_vector_dedup(spark, sf_dir: str) -> DataFrame:

@@ -326,6 +326,28 @@ def test_vectors(spark):
     assert sum(got[i][0] for i in got) >= 0.9 * n.sum() and all(got[i][0] <= n[i] for i in got) and all(got[i][1] <= i for i in got)
 
 
+def brute_vectors(rows, least=0.95):
+    """(vec_id, links of the row, component of the vec_id) of every row, ids with several vectors tied."""
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hits = x @ x.T >= least - 1e-12
+    comp = {i: i for i, _ in rows}
+    for a, b in zip(*np.nonzero(hits), strict=True):
+        x, y = sorted((comp[rows[a][0]], comp[rows[b][0]]))
+        comp = {i: x if c == y else c for i, c in comp.items()}
+    return sorted((i, int(hits[k].sum()) - 1, comp[i], comp[i] == i) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("rows", [
+    [(7, [1.0, 2.0]), (8, [1.0, 2.0]), (7, [5.0, -1.0]), (9, [3.0, 3.0])],
+    [(7, [1.0, 2.0]), (8, [1.0, 2.0]), (7, [5.0, -1.0]), (3, [5.0, -1.1]), (9, [-3.0, 3.0]), (9, [-3.0, 3.0]), (2, [-1.0, -2.0])],
+    [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [-1.0, 0.0]), (4, [0.0, -1.0])],
+], ids=["lost", "tied", "apart"])
+def test_vectors_of_repeated_ids(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("least", F.lit(1)).withColumn("vec", F.lit(2))
+    assert sorted(map(tuple, vector_dedup.near_duplicate_vectors(df).collect())) == brute_vectors(rows)
+
+
 def test_vectors_odd(spark):
     bad = [(1, None), (2, [1.0, None]), (3, [float("inf"), 1.0]), (4, []), (5, [0.0, 0.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0]), (None, [1.0, 2.0]), (9, [1e200, 2e200])]
     df = spark.createDataFrame(bad, "vec_id long, embedding array<double>").withColumn("n_links", F.lit(1)).withColumn("list", F.lit(1))
