@@ -139,13 +139,19 @@ def brute_components(rows, k, percent):
         w = (t or "").encode().lower().split()
         n = min(k, len(w))
         sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    root = linked({d: [x] for d, x in sets.items()}, percent)
+    return {d: (len(sets[d]), root[d]) for d in sets}
+
+
+def linked(sets, percent):
+    """Component of each id, whose texts' sets are given as a list."""
     root = {d: d for d in sets}
     for a in sorted(sets):
         for b in sorted(sets):
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            if a < b and any(x and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 x, y = sorted((root[a], root[b]))
                 root = {d: x if r == y else r for d, r in root.items()}
-    return {d: (len(sets[d]), root[d]) for d in sets}
+    return root
 
 
 def family(n=40, words=120, seed=3):
@@ -168,6 +174,35 @@ def test_near_duplicates(spark, monkeypatch, chunk):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with two texts has the links of both, also where it stands with a null text."""
+    words = lambda s, at=None: " ".join("other" if i == at else f"{s}{i}" for i in range(60))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b", 30)), (3, words("a", 30)), (3, None), (4, words("c")), (4, words("c")), (5, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    shingles = lambda t: {tuple(w[i : i + 4]) for w in [(t or "").split()] for i in range(len(w) - 3)}
+    sets = {d: [shingles(t) for e, t in rows if e == d] for d, _ in rows}
+    want = linked(sets, 80)
+    assert want[1] == want[2] == want[3] == 1
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()) == sorted((d, len(shingles(t)), want[d], want[d] == d) for d, t in rows)
+
+
+def test_histograms_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    for trial in range(300):
+        n = int(rng.integers(1, 4000 if trial % 10 else 400_000))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        b = a.copy()
+        at = rng.random(n) < rng.choice([0.0, 0.05, 0.11, 0.2])
+        b[at] = rng.integers(0, 2**63, at.sum(), dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(a), np.unique(b)[: int(n * rng.choice([1.0, 0.9, 0.8]))]
+        both = len(np.intersect1d(a, b))
+        link = 100 * both >= 80 * (len(a) + len(b) - both)
+        passed = minhash.may_link(np.array([len(a)]), np.array([len(b)]), minhash.histogram(a)[None], minhash.histogram(b)[None], 80)[0]
+        assert passed or not link
+        if len(a) < 4000 and both < 0.8 * len(a):
+            assert not passed
+
+
 def test_near_duplicates_odd(spark):
     got = minhash.near_duplicates(odd_docs(spark), k=5).collect()
     by = {}
