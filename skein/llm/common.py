@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of Scratch tables that this driver made and hasn't cleared.
+_ROOTS: list[str] = []
+
+
 class Scratch:
-    """Written tables of one operator run, below the shared folder. They outlive lost executors and cut lineage."""
+    """Written tables of one operator run, below the shared folder. They outlive lost executors and cut lineage.
+
+    Results read from them, so they stay until ``clear_scratch`` or the end of a ``scratch_space``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"
@@ -48,10 +56,37 @@ class Scratch:
 
     def drop(self, *tags: str) -> None:
         """Delete written tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{tag}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables of the runs so far (from the ``since``-th on), once their results have been written."""
+    while len(_ROOTS) > since:
+        _delete(spark, _ROOTS.pop())
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession):
+    """Scratch tables made within are deleted at its end; write the results before."""
+    since = len(_ROOTS)
+    try:
+        yield
+    finally:
+        clear_scratch(spark, since)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:

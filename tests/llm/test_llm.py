@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import minhash, mixing, packing, pii, quality, queries, secrets, shards, token_counts, topk, vector_dedup
-from skein.llm.common import connected_components, Scratch
+from skein.llm.common import Scratch, clear_scratch, connected_components, scratch_space
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double, id long, key long"
 
@@ -219,6 +219,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
+def test_scratch_tables_go(spark):
+    clear_scratch(spark)
+    with scratch_space(spark):
+        scratch = Scratch(spark, "gone")
+        assert scratch.keep(spark.range(3), "t").count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 # 5
 
 
@@ -341,11 +350,43 @@ def test_mixing_means(spark):
     assert abs(got["a"] - 20_000) < 800 and abs(got["b"] - 20_000) < 800 and None not in got  # rates of 4.4 and 14.3
     hot = mixing.mix_sources(docs.where("doc_id >= 5900"), {}, total=10).count()
     assert hot == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
-    assert mixing.mix_sources(odd_docs(spark)).count() >= 0
+    odd = mixing.mix_sources(odd_docs(spark), total=200)
+    assert odd.columns == [*odd_docs(spark).columns, "copy_no", "rate", "mix_key"]
+    per = {(r[0], r[1], r[2]): r[3] for r in odd.groupBy("doc_id", "text", "source").count().collect()}
+    assert per[(2, None, "s")] > 0 and per[(1, "one two three four five six seven", "s")] % 2 == 0 and sum(per.values()) > 120
     many = mixing.mix_sources(docs.where("doc_id >= 5900"), total=100 * 200).groupBy("doc_id").count().agg(F.avg("count")).first()[0]
     assert abs(many - 200) < 8
 
 
+def test_mixing_takes_any_column_names(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
+    plain = sorted(tuple(r) for r in mixing.mix_sources(docs).select("doc_id", "copy_no", "mix_key").collect())
+    clash = docs
+    for i, c in enumerate(("draws", "cdf", "_count", "_source", "_rate", "_draws", "_cdf", "_row", "_salt", "n", "w", "rate", "copy_no", "all_w")):
+        clash = clash.withColumn(c, F.lit(i))
+    got = mixing.mix_sources(clash)
+    assert got.columns == [*[c for c in clash.columns if c not in ("rate", "copy_no")], "copy_no", "rate", "mix_key"]
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["copy_no"], r["mix_key"]) for r in rows) == plain and {(r["draws"], r["_count"], r["_source"], r["_row"]) for r in rows} == {(0, 2, 3, 7)}
+
+
+def test_mixing_of_many_sources_and_of_one_repeated_id(spark, monkeypatch):
+    docs = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(7).alias("doc_id"), F.concat(F.lit("s"), F.pmod(F.col("id"), F.lit(50))).alias("source"))
+    rows = lambda: sorted(tuple(r) for r in mixing.mix_sources(docs).select("doc_id", "source", "copy_no", "mix_key").collect())
+    few = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert rows() == few
+    monkeypatch.undo()
+    hot = mixing.mix_sources(spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("a").alias("source")), total=40_000)
+    sizes = [r[0] for r in hot.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert not sizes or max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_mixing_shuffles_documents_once(spark, data):
+    plan = mixing.op7_mixing(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "Python" not in plan and "Arrow" not in plan
+
+
 # 8
 
 
