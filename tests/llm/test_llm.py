@@ -127,7 +127,66 @@ def test_shards_round_trip(spark, tmp_path):
 
 def test_shards_empty(spark, tmp_path):
     store = shards.shard_documents(no_docs(spark), f"file://{tmp_path}/none")
-    assert sum(s.size for s in store.shards()) >= 0
+    assert store.shards() == [] and store.version() == 0
+    odd = odd_docs(spark).where("doc_id = 2").withColumn("_slot", F.lit(3)).withColumn("_p", F.lit(4)).withColumn("_path", F.lit(5))
+    kept = shards.shard_documents(odd, f"file://{tmp_path}/names").read()
+    assert [tuple(r) for r in kept.select(odd.columns).collect()] == [tuple(r) for r in odd.collect()] and kept.columns == [*odd.columns, "shard"]
+
+
+def small_store(spark, path):
+    store = shards.ShardStore(spark, f"file://{path}", target=1 << 20)
+    for i in range(5):
+        store.append(spark.range(10 * i, 10 * i + 10).coalesce(1))
+    return store
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("id").collect())
+
+
+def test_compaction_keeps_old_versions_and_open_appends(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path / "a")
+    other, commit = shards.ShardStore(spark, store.root, target=1 << 20), shards.ShardStore._commit
+    old, runs = store.version(), []
+
+    def late(self, after, found):
+        if self is other and not runs:  # written, not yet committed: a whole compaction comes between
+            runs.append(store.compact())
+        return commit(self, after, found)
+
+    monkeypatch.setattr(shards.ShardStore, "_commit", late)
+    other.append(spark.range(100, 110))
+    assert runs and ids(store.read()) == [*range(50), *range(100, 110)] and ids(store.read(old)) == list(range(50))
+    store.vacuum(versions=1, older=3600.0)  # nothing is old enough
+    assert ids(store.read()) == [*range(50), *range(100, 110)]
+    with pytest.raises(ValueError, match="any more"):
+        store.read(old)
+    named = {s.path for s in store.shards()}
+    store.vacuum(versions=1, older=0.0)
+    assert {s.path for s in store._files("data")} == named and ids(store.read()) == [*range(50), *range(100, 110)]
+
+
+def test_two_compactions_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path / "b")
+    other, commit, runs = shards.ShardStore(spark, store.root, target=1 << 20), shards.ShardStore._commit, []
+
+    def late(self, after, found):
+        if self is other and not runs:
+            runs.append(store.compact())
+        return commit(self, after, found)
+
+    monkeypatch.setattr(shards.ShardStore, "_commit", late)
+    other.compact()
+    assert runs and ids(store.read()) == list(range(50)) and len(store.shards()) == 1
+
+
+def test_sharding_query_keeps_every_row(spark, data):
+    import zlib
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    got = shards.op3_sharding(spark, data).collect()
+    assert sorted((r["doc_id"], r["text_crc32"]) for r in got) == sorted((r[0], zlib.crc32(r[1].encode())) for r in rows)
+    assert sorted({r["shard"] for r in got}) == list(range(len({r["shard"] for r in got})))
 
 
 # 4
