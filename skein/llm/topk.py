@@ -13,6 +13,8 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 QUERY_BLOCKS_PER_GROUP = 64
 FOCUS = 3
+#: Blocks' lengths that the driver holds, to tell which blocks a query has to visit.
+STEPS = 4096
 TOP = np.iinfo(np.int64).max
 BLOCK = "block int, n int, dim int, top double, kind string, ids binary, cells binary"
 
@@ -87,14 +89,43 @@ def _best(q_ids, got, ids, k, floor):
     return out
 
 
-def search_block(q_ids, q, q_norm, floor, ids, mat, norm, k):
+class Bucket:
+    """Vectors of similar length, longest first, with a sorted list of the unit vectors' values for each coordinate asked."""
+
+    def __init__(self, ids: np.ndarray, mat: np.ndarray, norm: np.ndarray):
+        self.ids, self.mat, self.norm = ids, mat, norm
+        self.unit = mat / np.where(norm > 0, norm, 1)[:, None]
+        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def list_of(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a coordinate in order, and the rows that have them; sorted once."""
+        if f not in self.lists:
+            order = np.argsort(self.unit[:, f], kind="stable")
+            self.lists[f] = self.unit[order, f], order
+        return self.lists[f]
+
+    def feasible(self, direction: np.ndarray, cosine: float, eps: float) -> tuple[int, list[tuple[int, float, float, int, int]]]:
+        """The shortest range of a list, and for each focus coordinate of a direction the interval in which vectors at this
+        cosine or more have it: (coordinate, low, high, first, end), shortest first."""
+        focus = np.argsort(-np.abs(direction), kind="stable")[:FOCUS].tolist()
+        spread, out = np.arccos(cosine), []
+        for f in focus:
+            angle = np.arccos(np.clip(direction[f], -1, 1))
+            low, high = np.cos(min(np.pi, angle + spread)) - eps, np.cos(max(0.0, angle - spread)) + eps
+            values = self.list_of(f)[0]
+            out.append((f, low, high, int(np.searchsorted(values, low, "left")), int(np.searchsorted(values, high, "right"))))
+        out.sort(key=lambda x: x[4] - x[3])
+        return out[0][4] - out[0][3], out
+
+
+def search_block(q_ids, q, q_norm, floor, bucket: Bucket, k):
     """Exact k best of one bucket for each query, as (query, id, score) arrays.
 
     ``floor`` is a score that k vectors are known to reach. From it comes the local cosine threshold of this bucket,
     floor / (query length x longest length here): over 1 prunes the bucket; else the cheaper of two candidate lists is
-    verified, the length prefix or the feasible interval of the query's largest coordinates.
+    verified, the length prefix or the shortest feasible range of the query's largest coordinates, cut by the others.
     """
-    eps = 1e-9
+    eps, ids, mat, norm = 1e-9, bucket.ids, bucket.mat, bucket.norm
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where((floor > 0) & (q_norm > 0) & (norm[0] > 0), floor / (q_norm * norm[0]), np.where(floor > 0, 2.0, -1.0))
         need = np.where(floor > 0, floor / q_norm * (1 - eps), 0.0)
@@ -102,19 +133,18 @@ def search_block(q_ids, q, q_norm, floor, ids, mat, norm, k):
     if not len(alive):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     prefix = np.searchsorted(-norm, -need[alive], side="right")
-    unit = mat / np.where(norm > 0, norm, 1)[:, None]
-    lists = np.sort(unit, axis=0)
     by_length, rows = [], []
     for i, n in zip(alive, prefix, strict=True):
         t = min(1.0, local[i])
         if t > 0.5:
-            direction = q[i] / q_norm[i]
-            focus = np.argsort(-np.abs(direction), kind="stable")[:FOCUS]
-            angle, spread = np.arccos(np.clip(direction[focus], -1, 1)), np.arccos(t)
-            low, high = np.cos(np.minimum(np.pi, angle + spread)) - eps, np.cos(np.maximum(0, angle - spread)) + eps
-            counts = [np.searchsorted(lists[:, f], h, "right") - np.searchsorted(lists[:, f], w, "left") for f, w, h in zip(focus, low, high, strict=True)]
-            if min(counts) < n / 2:
-                found = np.flatnonzero(((unit[:n, focus] >= low) & (unit[:n, focus] <= high)).all(1))
+            shortest, ranges = bucket.feasible(q[i] / q_norm[i], t, eps)
+            if shortest < n / 2:
+                f, _, _, first, end = ranges[0]
+                found = bucket.list_of(f)[1][first:end]
+                found = found[found < n]
+                for f, low, high, _, _ in ranges[1:]:
+                    x = bucket.unit[found, f]
+                    found = found[(x >= low) & (x <= high)]
                 if len(found):
                     (score, other) = _best(q_ids[[i]], _products(q[[i]], mat[found]), ids[found], k, floor[[i]])[0]
                     rows += [(q_ids[i], o, s) for o, s in zip(other, score, strict=True)]
@@ -132,6 +162,17 @@ def search_block(q_ids, q, q_norm, floor, ids, mat, norm, k):
     return tuple(np.array(rows, dtype=np.int64).T)
 
 
+def last_block(floor: np.ndarray, q_norm: np.ndarray, ends: np.ndarray, tops: np.ndarray) -> int:
+    """The last of the blocks, numbered by falling length, that some query of a block can find a vector in; -1 if none.
+
+    ``tops``: lengths that no vector in a block after ``ends`` (the entry before) up to its own exceeds, in order.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(floor > 0, np.where(q_norm > 0, floor / q_norm * (1 - 1e-9), np.inf), 0.0).min()
+    at = int(np.searchsorted(-tops, -need, side="right")) - 1
+    return int(ends[at]) if at >= 0 else -1
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """Each query row's k best other rows by inner product of floor(scale * component).
 
@@ -140,8 +181,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     rows each count as a candidate; repeated queries count once. Shorter vectors are read as padded with zeros, empty ones
     as zero vectors. Products beyond a long are held at its ends. Without vectors the result is empty.
 
-    Vectors are dealt by length (then id, so that copies spread) to blocks of about BLOCK_ROWS rows; the queries, also in
-    blocks, visit each block once. One block, of bounded size, seeds every query's threshold.
+    Vectors are dealt by length (then id, so that copies spread) to blocks of about BLOCK_ROWS rows, numbered by falling
+    length. One block, of bounded size, seeds every query's threshold, and with it a block of queries goes only to the
+    blocks that are long enough, and these only to where queries need them. On the driver are STEPS lengths, and a row of
+    16 bytes for each QUERY_ROWS * QUERY_BLOCKS_PER_GROUP queries.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -157,31 +200,38 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     asked = rows.where("_q").dropDuplicates(["id"]).repartitionByRange(max(1, -(-queries // (8 * QUERY_ROWS))), F.col("norm").desc(), F.col("id")).select("id", "vec")
     asked = asked.mapInPandas(_pack(dim, QUERY_ROWS), BLOCK)
     seed = blocks.orderBy(F.col("n") <= k, F.col("top").desc(), "block").limit(1).toPandas()  # one block
+    last = blocks.agg(F.max("block")).first()[0]
+    step = -(-(last + 1) // STEPS)
+    steps = blocks.groupBy(F.floor(F.col("block") / step).alias("s")).agg(F.max("block").alias("end"), F.max("top").alias("top")).orderBy("s").toPandas()  # at most STEPS rows
+    ends, tops = steps["end"].to_numpy(), steps["top"].to_numpy()
 
     def with_floor(batches):
         s_ids, s_mat, _ = _open(next(seed.itertuples()))
         for pdf in batches:
-            floors = []
+            floors, lasts = [], []
             for r in pdf.itertuples():
-                ids, mat, _ = _open(r)
+                ids, mat, norm = _open(r)
                 none = np.full(len(ids), -float(TOP))
                 best = _best(ids, _products(mat, s_mat), s_ids, k, none)
-                floors.append(np.array([float(s[-1]) if len(s) == k else -float(TOP) for s, _ in best]).tobytes())
-            yield pdf.assign(floor=floors)
-
-    asked = scratch.keep(asked.mapInPandas(with_floor, BLOCK + ", floor binary"), "queries")
-    last, n_blocks = blocks.agg(F.max("block")).first()[0], asked.count()
-    groups = -(-n_blocks // QUERY_BLOCKS_PER_GROUP)
-    left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+                floor = np.array([float(s[-1]) if len(s) == k else -float(TOP) for s, _ in best])
+                floors.append(floor.tobytes())
+                lasts.append(last_block(floor, norm, ends, tops))
+            yield pdf.assign(floor=floors, last=lasts)
+
+    asked = scratch.keep(asked.mapInPandas(with_floor, BLOCK + ", floor binary, last int"), "queries")
+    groups = -(-asked.count() // QUERY_BLOCKS_PER_GROUP)
+    right = asked.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).drop("block").where("last >= 0")
+    reach = right.groupBy("g").agg(F.max("last").alias("last"))
+    left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(F.broadcast(reach), "g").where("block <= last").drop("last")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
 
     def visit(_, bucket, queries_here):
         found = [[], [], []]
         for b in bucket.itertuples():
-            ids, mat, norm = _open(b)
+            here = Bucket(*_open(b))
             for r in queries_here.itertuples():
                 q_ids, q, q_norm = _open(r)
-                for to, x in zip(found, search_block(q_ids, q, q_norm, np.frombuffer(r.floor), ids, mat, norm, k), strict=True):
+                for to, x in zip(found, search_block(q_ids, q, q_norm, np.frombuffer(r.floor), here, k), strict=True):
                     to.append(x)
         a, b, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})

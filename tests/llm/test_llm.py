@@ -55,7 +55,9 @@ def brute_topk(rows, k):
     return out
 
 
-def test_topk_of_uneven_lengths(spark):
+@pytest.mark.parametrize("block", [8192, 16])
+def test_topk_of_uneven_lengths(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)  # 16: many blocks, most of which no query needs
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-9, 10, 6) * (1 + 40 * (i % 7 == 0))]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(20)]
@@ -63,6 +65,13 @@ def test_topk_of_uneven_lengths(spark):
     assert {tuple(r) for r in got.collect()} == brute_topk(rows, 5)
 
 
+def test_topk_blocks_to_visit():
+    ends, tops = np.array([1, 3, 4]), np.array([10.0, 6.0, 2.0])
+    last = lambda floor, norm: topk.last_block(np.array(floor, float), np.array(norm, float), ends, tops)
+    assert last([20.0], [10.0]) == 4 and last([21.0], [10.0]) == 3 and last([61.0], [10.0]) == 1 and last([101.0], [10.0]) == -1
+    assert last([101.0, 61.0], [10.0, 10.0]) == 1 and last([-5.0, 90.0], [1.0, 1.0]) == 4 and last([0.0], [0.0]) == 4
+
+
 def test_topk_prunes_by_coordinates():
     rng = np.random.default_rng(2)
     mat = rng.integers(-50, 51, (400, 5)).astype(float)
@@ -71,7 +80,7 @@ def test_topk_prunes_by_coordinates():
     mat, norm, ids = mat[order], norm[order], order.astype(np.int64)
     q = mat[:50] * 2
     floor = np.partition(q @ mat.T, -3, axis=1)[:, -3].astype(float)
-    a, b, s = topk.search_block(np.arange(1000, 1050), q, np.sqrt((q**2).sum(1)), floor, ids, mat, norm, 3)
+    a, b, s = topk.search_block(np.arange(1000, 1050), q, np.sqrt((q**2).sum(1)), floor, topk.Bucket(ids, mat, norm), 3)
     got = {(x, y, z) for x, y, z in zip(a.tolist(), b.tolist(), s.tolist(), strict=True)}
     for i in range(50):
         want = sorted((-int(v), j) for v, j in zip(q[i] @ mat.T, ids.tolist(), strict=True))[:3]
@@ -82,7 +91,9 @@ def test_topk_odd(spark):
     bad = [(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, []), (6, [1.0, 2.0]), (None, [1.0, 2.0]), (8, [3e30, 1.0]), (8, [3e30, 1.0])]
     df = spark.createDataFrame(bad, "vec_id long, embedding array<double>").withColumn("norm", F.lit(1)).withColumn("id", F.lit(1))
     got = {tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 2 == 0).collect()}
-    assert {(r[0], r[2]) for r in got} == {(4, 6), (4, 8), (6, 4), (6, 8), (8, 4), (8, 6)}
+    big = int(np.floor(np.float64(3e30) * 256))
+    far = min(256 * big, topk.TOP)
+    assert got == {(4, 1, 6, 0), (4, 2, 8, 0), (4, 3, 8, 0), (6, 1, 8, far), (6, 2, 8, far), (6, 3, 4, 0), (8, 1, 6, far), (8, 2, 4, 0)}
     assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
