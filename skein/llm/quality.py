@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -17,51 +18,53 @@ from skein.llm.common import rows_by_bytes, tidy, with_texts
 SAMPLE = 4096
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 CHARS = (3, 4)
-#: Words kept by a scorer and the bytes of the longest that is kept; a long word's characters, and those taken at once.
-_CACHE_WORDS, _CACHE_BYTES = 200_000, 256
-_LONG, _WINDOW = 66, 1 << 16
-
-
-def window_buckets(text: str, n: int, most: int) -> np.ndarray:
-    """Buckets of the first ``most`` n-grams of a text: xxh32 of inputs under 16 bytes, all n-grams of one length at once."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-    begin = at[:-n][:most]
-    size, out, u = at[n:][:most] - begin, np.empty(len(begin), np.int64), np.uint32
-    p1, p2, p3, p4, p5 = map(u, (2654435761, 2246822519, 3266489917, 668265263, 374761393))
-    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
-    for length in np.unique(size).tolist():
-        which = np.flatnonzero(size == length)
-        start = begin[which]
-        if length >= 16:  # four characters beyond the basic plane
-            out[which] = [xxhash.xxh32_intdigest(raw[s : s + length].tobytes()) % BUCKETS for s in start.tolist()]
-            continue
-        h, b = np.full(len(which), int(p5) + length, u), [raw[start + k].astype(u) for k in range(length)]
-        for k in range(0, length - 3, 4):
-            h = turn(h + (b[k] | b[k + 1] << u(8) | b[k + 2] << u(16) | b[k + 3] << u(24)) * p3, 17) * p4
-        for k in range(length // 4 * 4, length):
-            h = turn(h + b[k] * p5, 11) * p1
-        h = (h ^ (h >> u(15))) * p2
-        h = (h ^ (h >> u(13))) * p3
-        out[which] = (h ^ (h >> u(16))) % u(BUCKETS)
-    return out
-
-
-def word_features(word: bytes) -> np.ndarray:
-    """Buckets of a word and of all its character n-grams, with marked ends; text without spaces is one long word."""
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    if len(w) > _LONG:
-        parts = [np.array([xxhash.xxh32_intdigest(word) % BUCKETS])]
-        for at in range(0, len(w), _WINDOW):  # n-grams by where they begin, so that few are held at once
-            parts += [window_buckets(w[at : at + _WINDOW + n - 1], n, _WINDOW) for n in CHARS]
-        return np.concatenate(parts)
-    grams = [word] + [w[i : i + n].encode() for n in CHARS for i in range(max(0, len(w) - n + 1))]
-    return np.fromiter((xxhash.xxh32_intdigest(g) % BUCKETS for g in grams), np.int64, len(grams))
+#: Words that a scorer keeps and the bytes of the longest that it keeps; characters whose n-grams are hashed at once.
+_CACHE_WORDS, _CACHE_BYTES, _WINDOW = 400_000, 64, 1 << 19
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    """Buckets of 64-bit hashes."""
+    return ((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(48)).astype(np.int64) % BUCKETS
+
+
+def _grams(points: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of the n-grams of code points, one for each of their starts."""
+    h = np.full(max(0, len(points) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = h * _STEP + points[k : k + len(h)]
+    return _buckets(h)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def word_parts(words: list[bytes]):
+    """(first word, buckets, word of each) for parts of the words' features: each word itself and all its character n-grams,
+    with marked ends. Text without spaces is one long word, whose n-grams come in several parts."""
+    texts = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at : at + _WINDOW]), _WINDOW, side="right")))
+        yield at, _buckets(np.fromiter(map(xxhash.xxh64_intdigest, words[at:end]), np.uint64, end - at)), np.arange(end - at)
+        if end == at + 1:
+            for n in CHARS:  # by where n-grams begin, so that few are held at once
+                for start in range(0, max(0, int(size[at]) - n + 1), _WINDOW):
+                    found = _grams(_points(texts[at][start : start + _WINDOW + n - 1]), n)
+                    yield at, found, np.zeros(len(found), np.int64)
+        else:
+            points, of = _points("".join(texts[at:end])), np.repeat(np.arange(end - at), size[at:end])
+            for n in CHARS:
+                inside = of[: len(points) - n + 1] == of[n - 1 :]
+                yield at, _grams(points, n)[inside], of[: len(points) - n + 1][inside]
+        at = end
 
 
 def pair_features(h: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words, from the words' 64-bit hashes. A word that repeats backs off to one shared bucket."""
-    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    x = h[:-1] * _STEP + h[1:]
     out = ((x ^ (x >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64)
     out[h[:-1] == h[1:]] = 0
     return out
@@ -72,11 +75,13 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    known = {w: word_features(w) for w in set(words)}
-    parts = [known[w] for w in words]
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    ids, counts = np.unique(np.concatenate([*parts, pair_features(h)]), return_counts=True)
-    return ids, counts.astype(np.float32)
+    times, out = Counter(words), np.zeros(BUCKETS)
+    count = np.fromiter(times.values(), np.float64, len(times))
+    for at, ids, of in word_parts(list(times)):
+        out += np.bincount(ids, count[at + of], BUCKETS)
+    out += np.bincount(pair_features(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))), minlength=BUCKETS)
+    ids = np.flatnonzero(out)
+    return ids, out[ids].astype(np.float32)
 
 
 @dataclass
@@ -122,50 +127,80 @@ class SubwordClassifier:
 
 
 class Scorer:
-    """Scores of whole texts; what a word adds is kept for the next time."""
+    """Scores of whole texts. What a word adds is kept for the next time; the new words of a batch are hashed together."""
 
     def __init__(self, each: np.ndarray, bias: float):
         self.each, self.bias = each, bias
-        self.kept: dict[bytes, tuple[float, int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.total, self.count, self.hash, self.used = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint64), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        first, end = self.used, self.used + len(words)
+        if end > len(self.total):
+            self.total, self.count, self.hash = (np.concatenate([x[:first], np.zeros(2 * end - first, x.dtype)]) for x in (self.total, self.count, self.hash))
+        self.hash[first:end] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.total[first:end], self.count[first:end] = 0, 0
+        for at, ids, of in word_parts(words):
+            sums, n = np.bincount(of, self.each[ids]), np.bincount(of)
+            self.total[first + at : first + at + len(sums)] += sums
+            self.count[first + at : first + at + len(n)] += n
+        self.place.update(zip(words, range(first, end), strict=True))
+        self.used = end
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.used > _CACHE_WORDS:
+            self._clear()
+        split = [t.split() for t in texts]
+        new = list(set().union(*split).difference(self.place))
+        self._learn(new)
+        get, logits = self.place.__getitem__, np.empty(len(texts))
+        for i, words in enumerate(split):
+            at = np.fromiter(map(get, words), np.int64, len(words))
+            total, n = float(self.total[at].sum()), int(self.count[at].sum())
+            if len(words) > 1:
+                total += float(self.each[pair_features(self.hash[at])].sum())
+                n += len(words) - 1
+            logits[i] = total / max(1, n) + self.bias
+        for w in new:
+            if len(w) > _CACHE_BYTES:
+                del self.place[w]
+        return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
     def score(self, text: bytes) -> float:
-        words, kept = text.split(), self.kept
-        total, n = 0.0, 0
-        for w in words:
-            got = kept.get(w)
-            if got is None:
-                ids = word_features(w)
-                got = (float(self.each[ids].sum()), len(ids))
-                if len(w) <= _CACHE_BYTES:
-                    if len(kept) >= _CACHE_WORDS:
-                        kept.clear()
-                    kept[w] = got
-            total += got[0]
-            n += got[1]
-        if len(words) > 1:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            total += float(self.each[pair_features(h)].sum())
-            n += len(words) - 1
-        return float(1 / (1 + np.exp(-np.clip(total / max(1, n) + self.bias, -40, 40))))
+        return float(self.scores([text])[0])
+
+
+@functools.lru_cache(maxsize=2)
+def _scorer(model: bytes, bias: float) -> Scorer:
+    """One scorer of a model for each Python worker, so that a task finds the words of those before it."""
+    return Scorer(np.frombuffer(model), bias)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE) -> SubwordClassifier:
     """A classifier fitted on at most ``sample`` labelled documents for whose doc_id ``may_learn`` holds.
 
-    Rows with a null or other label than 0 and 1, or without a document, are passed over. Only features travel to the driver.
+    Rows with a null or other label than 0 and 1, or without a document, are passed over; a document with both labels counts
+    as 1; of repeated rows of a doc_id the one whose text has the least hash is taken. Only features travel to the driver, of
+    at most ``sample`` rows.
     """
     drawn = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & may_learn).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = with_texts(docs, "doc_id").join(F.broadcast(drawn), "doc_id")  # at most ``sample`` rows
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("h", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         for batch in rows_by_bytes(batches):
-            got = [document_features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array([i.astype("<u2").tobytes() for i, _ in got], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in got], pa.binary())], schema=schema)
-
-    rows = texts.select("doc_id", "_t", "quality").mapInArrow(tidy(run), "doc_id long, quality int, ids binary, counts binary").toPandas()
-    rows = rows.sort_values(["doc_id", "quality", "ids"], ignore_index=True)
+            texts = batch.column(1).to_pylist()
+            got = [document_features(t) for t in texts]
+            columns = [[xxhash.xxh128_digest(t) for t in texts], [i.astype("<u2").tobytes() for i, _ in got], [c.astype("<f4").tobytes() for _, c in got]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+
+    rows = texts.select("doc_id", "_t", "quality").mapInArrow(tidy(run), "doc_id long, quality int, h binary, ids binary, counts binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "ids", "counts")).alias("r")).select("doc_id", "r.quality", "r.ids", "r.counts").toPandas()
+    rows = rows.sort_values("doc_id", ignore_index=True)
     feats = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
     return SubwordClassifier().fit(feats, rows["quality"].to_numpy(np.int64))
 
@@ -177,12 +212,13 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
     are not read.
     """
     each, bias = model.contributions()
+    packed = each.tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        scorer = Scorer(each, bias)
+        scorer = _scorer(packed, bias)
         for batch in rows_by_bytes(batches):
-            scores = [scorer.score(t.as_py()) for t in batch.column(1)]
+            scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], schema=schema)
 
     scored = with_texts(docs, "doc_id").mapInArrow(tidy(run), "doc_id long, score double")
@@ -192,12 +228,13 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
 def keep_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = 0.7) -> DataFrame:
     """The rows, all columns, whose text scores at least ``threshold``; one pass, no join. A null text counts as empty."""
     each, bias = model.contributions()
+    packed = each.tobytes()
 
     def run(batches):
-        scorer = Scorer(each, bias)
+        scorer = _scorer(packed, bias)
         for batch in rows_by_bytes(batches, text="text"):
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([scorer.score((t.as_py() or "").encode()) >= threshold for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(scorer.scores([(t or "").encode() for t in texts]) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 

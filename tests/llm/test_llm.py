@@ -330,16 +330,57 @@ def test_quality_reads_the_middle_of_unspaced_text():
     assert scores[1::2].min() > scores[::2].max()
 
 
-def test_quality_long_word_has_all_its_ngrams(monkeypatch):
+@pytest.mark.parametrize("window", [1, 7, 100, 501, 1 << 19])
+def test_quality_has_all_ngrams_of_all_words(monkeypatch, window):
+    """Whatever is hashed at once, each word has its own bucket and those of all its n-grams, as one by one."""
     import xxhash
 
-    word = "".join(np.random.default_rng(1).choice(list("aZ9é書😀"), 500))
-    w = f"<{word}>"
-    grams = [word] + [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
-    want = sorted(xxhash.xxh32_intdigest(g.encode()) % quality.BUCKETS for g in grams)
-    for size in (1, 7, 100, 501, 502, 1 << 16):
-        monkeypatch.setattr(quality, "_WINDOW", size)
-        assert sorted(quality.word_features(word.encode())) == want
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("aZ9é書😀"), n)) for n in (1, 2, 3, 500, 1, 40)]
+    one = lambda g: int(quality._grams(np.array([ord(c) for c in g], np.uint64), len(g))[0])
+    want = [sorted([int(quality._buckets(np.array([xxhash.xxh64_intdigest(w.encode())], np.uint64))[0])] + [one(f"<{w}>"[i : i + n]) for n in (3, 4) for i in range(len(w) + 3 - n)]) for w in words]
+    monkeypatch.setattr(quality, "_WINDOW", window)
+    got = [[] for _ in words]
+    for at, buckets, of in quality.word_parts([w.encode() for w in words]):
+        for x, i in zip(buckets.tolist(), of.tolist(), strict=True):
+            got[at + i].append(x)
+    assert [sorted(g) for g in got] == want
+
+
+def test_quality_scores_do_not_depend_on_the_batch(monkeypatch):
+    monkeypatch.setattr(quality, "_CACHE_WORDS", 50)
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abcdefé"), rng.integers(1, 90))) for _ in range(rng.integers(0, 30))).encode() for _ in range(40)]
+    each = rng.normal(size=quality.BUCKETS)
+    scorer, alone = quality.Scorer(each, 0.1), [quality.Scorer(each, 0.1).score(t) for t in texts]
+    assert np.concatenate([scorer.scores(texts[:25]), scorer.scores(texts[25:]), scorer.scores(texts)]).tolist() == pytest.approx(alone + alone, abs=1e-12)
+    for t, got in zip(texts, alone, strict=True):  # the features of fitting give the same score
+        ids, counts = quality.document_features(t)
+        assert 1 / (1 + np.exp(-(each[ids] @ counts / max(1, counts.sum()) + 0.1))) == pytest.approx(got, abs=1e-6)
+
+
+def test_quality_query_against_brute_force(spark):
+    """Held-out rows by their remainder, scores of every text by a model fitted here, and the threshold."""
+    import zlib
+
+    d = "/root/testdata/sf0.001"
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    learn = sorted(i for i in labels if i in texts and not out[i])
+    model = quality.SubwordClassifier().fit([quality.document_features(texts[i].encode()) for i in learn], np.array([labels[i] for i in learn]))
+    scorer = quality.Scorer(*model.contributions())
+    got = {r["doc_id"]: r for r in quality.op5_quality(spark, d).collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r["held_out"] == out[i] and r["score"] == pytest.approx(scorer.score(texts[i].encode()), abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_quality_takes_one_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 50 + [(1, "other text"), (2, "bad words there")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    a, b = (quality.fit_quality(docs.repartition(n), labels, F.lit(True)).contributions() for n in (1, 4))
+    assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
 # 6
