@@ -672,6 +672,91 @@ def test_model_adds_spans():
     assert pii.redacted("x a@b.c y", [("email", 2, 7)]) == "x [EMAIL] y"
 
 
+#: Written by hand, not by the model's generator: entities as [kind:text].
+LABELLED = """
+Please write to [masked_email:jane.roe [at] example [dot] org] before Friday.
+Call [local_phone:(415) 555-0134] or fax [local_phone:415-555-0199].
+Her social security number is [ssn:219-09-9999], please keep it safe.
+IBAN: [iban:GB29 NWBK 6016 1331 9268 19] thanks
+My name is [person:Ada Lovelace] and I was born on [birth_date:10 December 1915].
+[person:John Smith], [address:12 Main Street], born [birth_date:1990-01-02]
+Ship to [address:221 Baker Street, London] today.
+Er heißt Karl. Ich heiße [person:Anna Schmidt], geboren am [birth_date:3. März 1971].
+Sie wohnt in [address:Hauptstraße 17, 10115 Berlin] seit Mai.
+Me llamo [person:Lucía Fernández] y vivo en [address:Calle Mayor 4].
+Monsieur [person:Jean Dupont] habite [address:12 rue de la Paix, 75002 Paris].
+Mr. [person:Brown] said nothing.
+The meeting is on 2024-05-06 at 10:30 in room 12.
+Version 2.10.7 was released in 1999 and sold 415 555 copies.
+Walk down the street for 300 metres, then look at the dot com bubble.
+Section 4.2 of Part 12, see pages 100-120.
+Order 000-00-0000 and part 123-45-6789-X are void.
+Tel. [local_phone:01 42 68 53 00], dear friends.
+DOB: [birth_date:07/11/1984]; SSN [ssn:123-45-6780].
+Dear Sir, the road to Rome has 7 hills. Regards, the team
+Patient: [person:Maria del Carmen Ruiz], phone [local_phone:212-555-0187], 2 visits.
+reach me: [masked_email:bob(at)mail.example.net]
+She lives at [address:742 Evergreen Terrace, Springfield].
+GB29NWBK60161331926818 is not valid.
+""".strip().splitlines()
+
+
+def labelled(line):
+    """The text of a line and its entities."""
+    out, truth, at = "", set(), 0
+    while at < len(line):
+        if m := re.compile(rf"\[({'|'.join(pii.KINDS)}):").match(line, at):
+            at, depth = m.end(), 1
+            while depth:
+                depth += (line[at] == "[") - (line[at] == "]")
+                at += 1
+            truth.add((m[1], len(out), len(out) + at - 1 - m.end()))
+            out += line[m.end() : at - 1]
+        else:
+            out += line[at]
+            at += 1
+    return out, truth
+
+
+def test_entities_of_hand_labelled_text():
+    """At least nine in ten entities with their exact boundaries and types, and as many of what is found are right."""
+    both = [(truth, set(pii.scan(text.encode(), pii.trained()))) for text, truth in map(labelled, LABELLED)]
+    right, found, there = (sum(len(x) for x in y) for y in zip(*((t & g, g, t) for t, g in both), strict=True))
+    assert there == 26 and right >= 0.9 * there and right >= 0.9 * found
+
+
+def test_the_model_chooses_among_boundaries():
+    """Of one run of digits there are many segments, and which is best depends on the words around it."""
+    for text, kind, want in (("phone 415-555-0134 12 times", "local_phone", "415-555-0134"), ("born 1990-01-02 10 days after", "birth_date", "1990-01-02"), ("ssn 219-09-9999 2 copies", "ssn", "219-09-9999")):
+        segments = [s for s in pii.candidates(text) if s[2] >= len(pii.BASE)]
+        assert len(segments) > 2
+        assert [(k, text[a:b]) for k, a, b in pii.scan(text.encode(), pii.trained())] == [(kind, want)]
+
+
+@pytest.mark.parametrize("email", [f"{'a' * 70}.b [at] example [dot] org", "a [dot] b [dot] c [dot] d [dot] e [dot] f [at] " + " [dot] ".join("mnopqrstuvwxyzabc") + " [dot] com"], ids=["long", "many"])
+def test_masked_addresses_are_whole(email):
+    text = f"Please mail me: {email}, thanks."
+    assert [(k, text[a:b]) for k, a, b in pii.scan(text.encode(), pii.trained())] == [("masked_email", email)]
+
+
+def test_model_on_other_generated_text():
+    got = right = there = 0
+    for text, truth in pii._examples(300, 4242):
+        found = {(a, b, pii.KIND[k]) for k, a, b in pii.scan(text.encode(), pii.trained())}
+        assert set(truth) <= set(pii.candidates(text))
+        got, right, there = got + len(found), right + len(found & set(truth)), there + len(truth)
+    assert right > 0.95 * got and right > 0.95 * there
+
+
+def test_scanning_takes_time_in_proportion():
+    import time
+
+    for piece in ("12 ", "1-2.3 ", " at ", "a [dot] ", "street 1 ", "Mr. A ", "1990-01-02 ", "DE12", "name: Ab Cd Ef Gh, 1 Main St, ", "a(at)b.c "):
+        started = time.process_time()
+        pii.scan((piece * (20_000 // len(piece)) + " dot").encode(), pii.trained())
+        assert time.process_time() - started < 12, piece
+
+
 def test_spans_queries_odd(spark):
     for found in (secrets.find_secrets(odd_docs(spark)), pii.find_pii(odd_docs(spark))):
         assert found.count() == 11
