@@ -792,3 +792,28 @@ def test_pipeline(spark, data):
         want += [(i, k, min(4096, size - 4096 * k)) for k in range(-(-size // 4096))] * n
     got = [(r["doc_id"], r["piece"], r["length"]) for r in cp.run(spark, data).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_pipeline_stages_take_odd_rows(spark, data):
+    """Null ids and texts, repeated rows, one id with several texts and columns with the operators' own names."""
+    import corpus_pipeline as cp
+
+    docs = odd_docs(spark).unionByName(spark.createDataFrame([(7, "another text of that id", "en", "t", 0, 1, 0.5, 3, 4), (7, None, "en", "t", 0, 1, 0.5, 3, 4)], DOCS))
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, data).columns == docs.columns, name
+        assert stage(spark, no_docs(spark), data).count() == 0, name
+    kept = cp.near_dedup(spark, docs, data).collect()
+    by = {}
+    for r in kept:
+        by.setdefault(r["doc_id"], []).append(r["text"])
+    assert sorted(by, key=repr) == [1, 2, 3, 4, 7, 9, None] and by[7] == [None] and all(len(v) == 1 for v in by.values())
+    assert cp.pii(spark, docs, data).count() == docs.count()
+    assert cp.packing(spark, docs, data).count() >= docs.count() and cp.packing(spark, no_docs(spark), data).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, data):
+    import corpus_pipeline as cp
+
+    spark.read.parquet(f"{data}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, f"file://{tmp_path}").count() == 0
