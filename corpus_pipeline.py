@@ -17,12 +17,17 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. The score reads the text alone, so equal texts share their fate."""
+    """Documents that the classifier doesn't reject. The score reads the text alone, so equal texts share their fate; null
+    and empty texts have the score of the bias. Without labels nothing is rejected but by the bias, which is none."""
     return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learnable()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles at similarity 0.8 link; of repeated rows of a doc_id one."""
+    """One document of each group that five-word shingles at similarity 0.8 link: that of the smallest doc_id.
+
+    Of repeated rows of a doc_id the one with the least text stays, nulls first. Rows with a null doc_id, and documents
+    without words, link with nothing and stay. An empty table stays empty.
+    """
     scratch = Scratch(spark, "kept")
     found = scratch.keep(near_duplicates(docs), "found")
     gone = scratch.keep(found.where("not kept").select("doc_id").distinct(), "gone")
@@ -32,21 +37,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = scratch.keep(again, "again")
     stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    row = F.struct(*docs.columns)
+    least = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("r"))
+    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(least.select("r.*"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced in every text."""
+    """Personal data replaced in every text, ``n_chars`` counted anew. Rows, also repeated and null ones, stay as many."""
     return redact_pii(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights by repeating or dropping documents, in random order."""
+    """Sources brought to their target weights by repeating or dropping documents, in random order. A null source is one,
+    texts are not looked at, and of an empty table nothing comes."""
     return mix_sources(docs).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
+    """Sequences of 4096 tokens, a row for each piece of each row; a null or empty text is its end mark alone."""
     return pack(docs)
 
 
@@ -56,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES on ``documents``, each written and read again."""
+    """STAGES on ``documents``, each written and read again. The tables between stay until ``clear_scratch``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
