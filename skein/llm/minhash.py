@@ -19,7 +19,7 @@ PREFIX = COORDINATES - LEAST_EQUAL + 1
 #: Rows of a posting list that are compared with each other at once; longer lists are split by a second coordinate first.
 CHUNK = 1024
 #: Cells of a set's histogram. What two sets share is at most what the smaller counts of their cells sum up to.
-CELLS, MOST = 1024, 255
+CELLS, MOST = 512, 255
 #: Bits of the filter that says whose text is needed again: 8 MB, whatever the number of documents.
 FILTER_BITS = 26
 _R = np.random.default_rng(20_240_501)
@@ -56,7 +56,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def histogram(hashes: np.ndarray) -> np.ndarray:
     """How many of the distinct hashes fall into each cell; MOST stands for that many or more."""
-    return np.minimum(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=CELLS), MOST).astype(np.uint8)
+    return np.minimum(np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=CELLS), MOST).astype(np.uint8)
 
 
 def may_link(size_a: np.ndarray, size_b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, percent: int) -> np.ndarray:
@@ -143,7 +143,7 @@ def _pairs_in_lists(every: bool, percent: int):
                 ok &= ~deep | (c2[i] == c2[j]) & (equal.argmax(1) == c2[i])
             i, j, n = i[ok], j[ok], n[ok]
             if every and len(i):
-                part = [(i[s : s + 16_384], j[s : s + 16_384]) for s in range(0, len(i), 16_384)]
+                part = [(i[s : s + 8192], j[s : s + 8192]) for s in range(0, len(i), 8192)]
                 ok = np.concatenate([may_link(size[x], size[y], cells[x], cells[y], percent) for x, y in part])
                 i, j, n = i[ok], j[ok], n[ok]
             got_a.append(i)
