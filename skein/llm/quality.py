@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -173,12 +172,6 @@ class Scorer:
         return float(self.scores([text])[0])
 
 
-@functools.lru_cache(maxsize=2)
-def _scorer(model: bytes, bias: float) -> Scorer:
-    """One scorer of a model for each Python worker, so that a task finds the words of those before it."""
-    return Scorer(np.frombuffer(model), bias)
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE) -> SubwordClassifier:
     """A classifier fitted on at most ``sample`` labelled documents for whose doc_id ``may_learn`` holds.
 
@@ -212,11 +205,10 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
     are not read.
     """
     each, bias = model.contributions()
-    packed = each.tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        scorer = _scorer(packed, bias)
+        scorer = Scorer(each, bias)  # of this task: what it keeps goes with it
         for batch in rows_by_bytes(batches):
             scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], schema=schema)
@@ -228,10 +220,9 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
 def keep_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = 0.7) -> DataFrame:
     """The rows, all columns, whose text scores at least ``threshold``; one pass, no join. A null text counts as empty."""
     each, bias = model.contributions()
-    packed = each.tobytes()
 
     def run(batches):
-        scorer = _scorer(packed, bias)
+        scorer = Scorer(each, bias)  # of this task: what it keeps goes with it
         for batch in rows_by_bytes(batches, text="text"):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(scorer.scores([(t or "").encode() for t in texts]) >= threshold, pa.bool_()))
