@@ -16,8 +16,9 @@ COORDINATES = 32
 LEAST_EQUAL = 16
 #: A pair with LEAST_EQUAL equal coordinates has one among the first 17: only these are posted, the rest is skipped.
 PREFIX = COORDINATES - LEAST_EQUAL + 1
-#: Rows of a posting list that are compared with each other at once; longer lists are split by a second coordinate first.
-CHUNK = 1024
+#: Rows of a posting list that are compared with each other at once, and of the longest list that isn't split by a second
+#: coordinate before.
+CHUNK, LONGEST = 1024, 4096
 #: Cells of a set's histogram. What two sets share is at most what the smaller counts of their cells sum up to.
 CELLS, MOST = 512, 255
 #: Bits of the filter that says whose text is needed again: 8 MB, whatever the number of documents.
@@ -279,10 +280,10 @@ def _apart(scratch: Scratch, posts: DataFrame, reps: DataFrame, components: Data
 
     row = row.join(span(row, "key"), "key").join(reps.drop("fp"), "id").withColumn("c1", F.shiftright("key", 32).cast("int"))
     row = scratch.keep(row, f"{tag}-open")
-    short = row.where(F.col("n") <= CHUNK).withColumn("c2", F.lit(-1)).withColumn("g", F.col("key"))
+    short = row.where(F.col("n") <= LONGEST).withColumn("c2", F.lit(-1)).withColumn("g", F.col("key"))
     # Of a pair's LEAST_EQUAL equal coordinates the second lies within the prefix and one more, after the first.
     value = F.substring("sig", F.col("c2") * 4 + 1, F.lit(4))
-    split = row.where(F.col("n") > CHUNK).drop("n", "major", "n_major").withColumn("c2", F.explode(F.expr(f"sequence(c1 + 1, {PREFIX})"))).withColumn("g", F.xxhash64("key", "c2", value))
+    split = row.where(F.col("n") > LONGEST).drop("n", "major", "n_major").withColumn("c2", F.explode(F.expr(f"sequence(c1 + 1, {PREFIX})"))).withColumn("g", F.xxhash64("key", "c2", value))
     split = split.join(span(split.select("g", "comp"), "g"), "g")
     row = short.unionByName(split)
     # The first m0 chunks hold the largest component, the others the rest; a list that fits one chunk is one.

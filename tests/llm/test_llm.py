@@ -236,9 +236,10 @@ def family(n=40, words=120, seed=3):
     return out + [(200 + i, " ".join(f"u{x}" for x in rng.integers(0, 500, words))) for i in range(30)]
 
 
-@pytest.mark.parametrize("chunk", [4096, 4])
-def test_near_duplicates(spark, monkeypatch, chunk):
-    monkeypatch.setattr(minhash, "CHUNK", chunk)  # 4: lists are split by a second coordinate, and what is left into chunks
+@pytest.mark.parametrize(("chunk", "longest"), [(1024, 4096), (4, 4), (4, 100)])
+def test_near_duplicates(spark, monkeypatch, chunk, longest):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)  # 4: lists are split into chunks, those over ``longest`` by a second coordinate before
+    monkeypatch.setattr(minhash, "LONGEST", longest)
     rows = family()
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_components(rows, 4, 80)
