@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.plans.articles import Settings
+from skein.session import cut_lineage
 
 BLOCK = 2048
+#: So many parts' spans, 3 MB, go to every executor.
+BROADCAST_PARTS = 100_000
 PAIR = "src long, dst long, src_pos long, dst_pos long, distance double"
 
 
@@ -45,7 +48,8 @@ def similar_pairs(articles: DataFrame, p: Settings, span: float | None = None, s
     keep = ["part_id", "doc_id", "doc_pos", "sec", "emb", "span"]
     if p.td:
         spans = rows.groupBy("part_id").agg((F.max("sec") - F.min("sec")).alias("span"), F.min("sec").alias("low"))
-        rows = rows.join(spans, "part_id")
+        parts = cut_lineage(spans)  # a row for each part
+        rows = rows.join(F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts, "part_id")
         rows = rows.withColumn("span", F.lit(span)) if span is not None else rows
         rows = rows.where("span > 0")
     else:

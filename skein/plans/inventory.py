@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import kernels as K
-from skein.operators import clustering, coherence, community, evaluation, features, modularity, resolution, text, threads
+from skein.operators import clustering, coherence, community, evaluation, features, modularity, resolution, text, threads, tuning
 from skein.plans import registry as R
 from skein.plans.articles import Settings, articles, entities, table, tokens
 from skein.plans.registry import P, query
@@ -70,6 +70,52 @@ def s9(spark, d):
     return files.read_matrix(spark, path).select("doc_id", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
 
 
+@query("s2_whole_json", "", "SELECT r_regionkey, r_name FROM region")
+def s2(spark, d):
+    """A file for each region, read as one document each."""
+    path, rows = _folder(spark), table(spark, d, "region").select("r_regionkey", "r_name")
+    rows.withColumn("p", F.col("r_regionkey")).write.partitionBy("p").json(path)
+    return files.read_json(spark, f"{path}/p=*", "r_regionkey int, r_name string")
+
+
+@query("s10_sparse_matrix", "tok", "SELECT text_id AS doc_id, term, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT text_id, unnest(tokens) AS term FROM tok) GROUP BY ALL")
+def s10(spark, d):
+    path = _folder(spark)
+    counts = text.term_counts(tokens(spark, d), "text_id")
+    files.write_matrix(counts.select(F.col("text_id").alias("doc_id"), "term", F.col("tf").cast("double").alias("weight")), path)
+    return files.read_sparse(spark, path)
+
+
+@query("s13_articles", "", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS description, text FROM documents")
+def s13(spark, d):
+    """Texts that are missing or empty, in two of three rows, come from the main text."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("text"))
+    body = F.to_json(F.struct(F.col("source").alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("description"), own.alias("text"), F.col("text").alias("maintext")))
+    found = files.articles_of(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), body.alias("body")), "doc_id", "body")
+    return found.select("doc_id", "title", "description", "text")
+
+
+@query("k7_thread_sink", "threads", "SELECT thread_id, length, round(similarity, 6) AS similarity FROM threads")
+def k7(spark, d):
+    path = _folder(spark)
+    found = threads.summary(R._ordered(spark, d))
+    files.write_threads(found.limit(0), path, "another")
+    files.write_threads(found, path, "a3_w0.8")
+    return spark.read.parquet(path).where("run = 'a3_w0.8'").select("thread_id", "length", _r("similarity"))
+
+
+@query("k8_stored_graph", "edges", "SELECT src, dst, round(distance, 6) AS weight FROM edges")
+def k8(spark, d):
+    """The second reading takes the stored graph: its builder would fail."""
+    path = _folder(spark)
+    files.stored(spark, path, lambda: R._edges(spark, d).select("src", "dst", "weight"))
+
+    def never():
+        raise AssertionError("built again")
+
+    return files.stored(spark, path, never).select("src", "dst", _r("weight"))
+
+
 # Annotated articles made of the documents' words: a word's type follows from its length
 
 _TYPE = "CASE length(w) % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'O' ELSE 'ORGANIZATION' END"
@@ -93,6 +139,16 @@ def g1(spark, d):
     return resolution.resolve(_annotated(spark, d)).groupBy("doc_id", "q", "entity").agg(F.count("*").alias("n"))
 
 
+@query("g2_when", "", "SELECT doc_id, CAST(epoch(DATE '2020-01-01' + CAST(doc_id % 900 + i AS INTEGER)) AS BIGINT) AS day FROM documents, (VALUES (0), (2)) v(i) WHERE i <= doc_id % 4")
+def g2(spark, d):
+    """Dates of one to four tokens in a row: every second one starts an entity."""
+    day = lambda i: F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900 + i).cast("int")).cast("string")
+    token = lambda i: F.to_json(F.struct(F.struct((i + 5).alias("index"), F.lit("d").alias("word"), F.lit(" ").alias("after"), F.lit("DATE").alias("ner"), F.struct(day(i).alias("value")).alias("timex")).alias("nlpToken")))
+    parts = F.array(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), token))
+    made = table(spark, d, "documents").select("doc_id", F.create_map(F.lit("when"), parts).alias("answers"))
+    return resolution.resolve(made, ("when",)).select("doc_id", F.col("entity").cast("double").cast("long").alias("day"))
+
+
 @query("p16_valid_answers", "tok", f"SELECT text_id AS doc_id, len(list_filter(tokens, lambda w: {_TYPE} <> 'O')) > 0 AS valid FROM tok WHERE len(tokens) > 0")
 def p16(spark, d):
     return _annotated(spark, d).select("doc_id", resolution.valid_answer(resolution.answer_tokens(F.col("answers")["who"])).alias("valid"))
@@ -131,6 +187,13 @@ def w7(spark, d):
     return R.j5(spark, d).select("src", "dst", F.round(K.path_factor(F.col("edges"), 0.1, 5), 6).alias("factor"))
 
 
+@query("w11_entity_affinity", "paths", "SELECT src, dst, round((1 - distance) * CASE WHEN shared > 0 THEN 0.5 * (1 + (1 - exp(-0.1 * shared / 5.0))) ELSE 0.5 * exp(-0.1 * (coalesce(edges, 10) / 2.0) / 5.0) END, 6) AS similarity FROM paths")
+def w11(spark, d):
+    """Similarity with decay and entities, of the pairs that clustering takes."""
+    found = clustering.affinities(articles(spark, d), R.WITH_ENTITIES, entities(spark, d))
+    return found.select("src", "dst", F.round(1 - F.col("weight"), 6).alias("similarity"))
+
+
 @query("p2_gather", "", "SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id)")
 def p2(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
@@ -218,15 +281,25 @@ def t3(spark, d):
     return table(spark, d, "documents").select("doc_id", features.strip_accents("text").alias("text"))
 
 
+@query("t19_tokenisers", "", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '([0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\x0b\f\r])'), ' ') AS words, len(string_split(text, ' ')) AS by_space FROM documents")
+def t19(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(features.words(F.col("text")), " ").alias("words"), F.size(features.words_by_space(F.col("text"))).cast("long").alias("by_space"))
+
+
 @query("t4_latent_vectors", "", None)
 def t4(spark, d):
     weights = cut_lineage(text.tfidf(tokens(spark, d), "text_id"))
     return features.lsa(weights, features.fit_lsa(weights, "text_id"), "text_id")
 
 
+@query("o8_best_range", "threads coherence diversity", R.GRID_SQL + " SELECT * FROM res ORDER BY diversity DESC NULLS LAST, coherence DESC NULLS LAST, l_lo, l_hi, s_lo, s_hi, d_lo, d_hi LIMIT 1")
+def o8(spark, d):
+    return tuning.best_range(R.a10(spark, d))
+
+
 @query("t15_coherence", "coherence", "SELECT thread_id, round(coherence, 6) AS coherence FROM coherence")
 def t15(spark, d):
-    members, docs = cut_lineage(R._members(spark, d)), tokens(spark, d)
+    members, docs = cut_lineage(R._members(spark, d)), text.plain(tokens(spark, d))
     words = cut_lineage(text.keywords(members, docs))
     return coherence.coherence(words, members.join(docs, "text_id").select("doc_id", "tokens")).select("thread_id", _r("coherence"))
 

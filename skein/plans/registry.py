@@ -11,6 +11,7 @@ from skein.functions import kernels as K
 from skein.operators import community, entity_graph, metrics, pairs, text, threads, tuning
 from skein.plans import validation
 from skein.plans.articles import Settings, articles, entities, table, tokens, with_positions
+from skein.sources import files
 
 P = Settings()
 FLAT = Settings(td=False, w=0.7)
@@ -42,8 +43,9 @@ cut AS (SELECT pw.node, pw.parent, pw.weight FROM pw JOIN lim USING (root) LEFT
     "threads": ("ordered", "threads AS (SELECT thread_id, count(*) AS length, min(ts) AS first_ts, max(ts) AS last_ts, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) / 86400.0 AS span_days, coalesce(avg(step), 'nan'::DOUBLE) AS similarity FROM ordered GROUP BY thread_id)"),
     "shared": ("edges ent", "be AS (SELECT DISTINCT doc_id, entity FROM ent), cnt AS (SELECT e.src, e.dst, count(*) AS shared FROM edges e JOIN be x ON x.doc_id = e.src JOIN be y ON y.doc_id = e.dst AND y.entity = x.entity GROUP BY e.src, e.dst), shared AS (SELECT e.src, e.dst, e.distance, coalesce(c.shared, 0) AS shared FROM edges e LEFT JOIN cnt c ON c.src = e.src AND c.dst = e.dst)"),
     "paths": ("shared", "hop AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM be x JOIN be y ON x.entity = y.entity AND x.doc_id <> y.doc_id), s0 AS (SELECT DISTINCT src FROM shared WHERE shared = 0), h1 AS (SELECT src, b, 1 AS h FROM s0 JOIN hop ON a = src), h2 AS (SELECT DISTINCT h1.src, hop.b, 2 AS h FROM h1 JOIN hop ON hop.a = h1.b), d0 AS (SELECT DISTINCT dst FROM shared WHERE shared = 0), g1 AS (SELECT dst, b, 1 AS h FROM d0 JOIN hop ON a = dst), g2 AS (SELECT DISTINCT g1.dst, hop.b, 2 AS h FROM g1 JOIN hop ON hop.a = g1.b), hs AS (SELECT src, b, min(h) AS h FROM (SELECT src, src AS b, 0 AS h FROM s0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY src, b), gs AS (SELECT dst, b, min(h) AS h FROM (SELECT dst, dst AS b, 0 AS h FROM d0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY dst, b), met AS (SELECT s.src, s.dst, min(2 * (hs.h + gs.h)) AS edges FROM shared s JOIN hs ON hs.src = s.src JOIN gs ON gs.dst = s.dst AND gs.b = hs.b WHERE s.shared = 0 GROUP BY s.src, s.dst), paths AS (SELECT s.src, s.dst, s.distance, s.shared, m.edges FROM shared s LEFT JOIN met m ON m.src = s.src AND m.dst = s.dst)"),
-    "tfidf": ("tok", "tc AS (SELECT text_id, term, count(*) AS tf FROM (SELECT text_id, unnest(tokens) AS term FROM tok) GROUP BY ALL), nn AS (SELECT count(*) AS n FROM tok), tdf AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tc GROUP BY term HAVING count(*) <= 0.9 * (SELECT n FROM nn) ORDER BY cf DESC, term LIMIT 100000), tx AS (SELECT text_id, term, tf * (ln((1 + (SELECT n FROM nn))::DOUBLE / (1 + df)) + 1) AS x FROM tc JOIN tdf USING (term)), tfidf AS (SELECT text_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY text_id)) AS tfidf FROM tx)"),
-    "grams": ("tok", "grams AS (SELECT text_id, gram, count(*) AS n FROM (SELECT text_id, unnest(flatten([list_transform(range(1, len(tokens) - m + 2), lambda i: array_to_string(tokens[i:i + m - 1], ' ')) for m in [1, 2, 3]])) AS gram FROM tok) GROUP BY ALL)"),
+    "ftok": ("tok", r"""ftok AS (SELECT text_id, list_filter(list_transform(tokens, lambda x: regexp_replace(strip_accents(x), '[^\x00-\x7F]', '', 'g')), lambda x: x <> '') AS tokens FROM tok)"""),
+    "tfidf": ("ftok", "tc AS (SELECT text_id, term, count(*) AS tf FROM (SELECT text_id, unnest(tokens) AS term FROM ftok) GROUP BY ALL), nn AS (SELECT count(*) AS n FROM tok), tdf AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tc GROUP BY term HAVING count(*) <= 0.9 * (SELECT n FROM nn) ORDER BY cf DESC, term LIMIT 100000), tx AS (SELECT text_id, term, tf * (ln((1 + (SELECT n FROM nn))::DOUBLE / (1 + df)) + 1) AS x FROM tc JOIN tdf USING (term)), tfidf AS (SELECT text_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY text_id)) AS tfidf FROM tx)"),
+    "grams": ("ftok", "grams AS (SELECT text_id, gram, count(*) AS n FROM (SELECT text_id, unnest(flatten([list_transform(range(1, len(tokens) - m + 2), lambda i: array_to_string(tokens[i:i + m - 1], ' ')) for m in [1, 2, 3]])) AS gram FROM ftok) GROUP BY ALL)"),
     "keywords": ("members tfidf", """sz AS (SELECT thread_id, count(*) AS docs FROM members GROUP BY thread_id),
 r0 AS (SELECT m.thread_id, t.term, count(*) AS df, sum(t.tfidf) AS s FROM members m JOIN a USING (doc_id) JOIN tfidf t USING (text_id) GROUP BY ALL),
 r AS (SELECT thread_id, term, CASE WHEN df::DOUBLE / docs >= 0.9 THEN 0.0 ELSE df::DOUBLE / docs END AS x, s / docs AS y FROM r0 JOIN sz USING (thread_id)),
@@ -55,8 +57,8 @@ e AS (SELECT m.thread_id, m.doc_id, coalesce(o.n, 0) AS n, t.all_n - coalesce(o.
 z AS (SELECT thread_id, doc_id, sum(n) AS sp, sum(q) AS sq, sum(CASE WHEN n > 0 THEN n * ln(n / CAST(q AS DOUBLE)) END) AS s FROM e GROUP BY ALL),
 kl AS (SELECT m.thread_id, CASE WHEN sp > 0 THEN s / sp + ln(sq / CAST(sp AS DOUBLE)) ELSE 'nan'::DOUBLE END AS kl FROM members m LEFT JOIN z USING (thread_id, doc_id)),
 diversity AS (SELECT thread_id, avg(kl) AS diversity FROM kl GROUP BY thread_id)"""),
-    "coherence": ("keywords tok", """cw AS (SELECT DISTINCT thread_id, term FROM keywords),
-ct AS (SELECT m.doc_id, t.tokens, greatest(len(t.tokens) - 110, 0) AS last FROM members m JOIN a USING (doc_id) JOIN tok t USING (text_id) WHERE len(t.tokens) > 0),
+    "coherence": ("keywords ftok", """cw AS (SELECT DISTINCT thread_id, term FROM keywords),
+ct AS (SELECT m.doc_id, t.tokens, greatest(len(t.tokens) - 110, 0) AS last FROM members m JOIN a USING (doc_id) JOIN ftok t USING (text_id) WHERE len(t.tokens) > 0),
 cp AS (SELECT doc_id, last, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS p FROM ct),
 win AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(p - 109, 0), least(p, last) + 1)) AS s FROM cp WHERE term IN (SELECT term FROM cw)),
 nw AS (SELECT sum(last + 1)::DOUBLE AS w FROM ct), one AS (SELECT term, count(*) AS n FROM win GROUP BY term),
@@ -179,14 +181,14 @@ def o11(spark, d):
 
 @query("s6_key_value_text", "", "SELECT trim(split_part(v, '~|~', 1)) AS key, trim(split_part(v, '~|~', 2)) AS value FROM (SELECT n_nationkey || ' ~|~ ' || n_name AS v FROM nation)")
 def s6(spark, d):
-    parts = F.split(F.concat(F.col("n_nationkey").cast("string"), F.lit(" ~|~ "), "n_name"), r"~\|~")
-    return table(spark, d, "nation").select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(" ~|~ "), "n_name")
+    return table(spark, d, "nation").select(*files.key_values(line))
 
 
 @query("s7_part_ranges", "", r"SELECT CAST(regexp_extract(v, '^(\d+)', 1) AS INTEGER) AS part_id, CAST(regexp_extract(v, '\((\d+)', 1) AS BIGINT) AS st, CAST(regexp_extract(v, ',\s*(\d+)\)', 1) AS BIGINT) AS en FROM (SELECT r_regionkey || '~|~(' || r_regionkey * 250 || ', ' || (r_regionkey + 1) * 250 || ')' AS v FROM region)")
 def s7(spark, d):
     v = table(spark, d, "region").selectExpr("concat(r_regionkey, '~|~(', r_regionkey * 250, ', ', (r_regionkey + 1) * 250, ')') as v")
-    return v.select(F.regexp_extract("v", r"^(\d+)", 1).cast("int").alias("part_id"), F.regexp_extract("v", r"\((\d+)", 1).cast("long").alias("st"), F.regexp_extract("v", r",\s*(\d+)\)", 1).cast("long").alias("en"))
+    return files.part_ranges(v.select(*files.key_values(F.col("v"))))
 
 
 # Weights and pairs
@@ -364,9 +366,17 @@ def j7(spark, d):
     return articles(spark, d).groupBy("story_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("docs")).where("n > 2")
 
 
-@query("a16_mcnemar", "", "SELECT only_a, only_b, round(pow(greatest(abs(only_a - only_b) - 1, 0), 2) / nullif(CAST(only_a + only_b AS DOUBLE), 0), 6) AS statistic FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b FROM labels)")
+_P_VALUE = "exp(-statistic / 2) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))"
+
+
+@query("a16_mcnemar", "", f"SELECT only_a, only_b, round(statistic, 6) AS statistic, round({_P_VALUE}, 6) AS p_value, statistic >= 3.841458820694124 AS significant FROM (SELECT *, 1 / (1 + 0.3275911 * sqrt(statistic / 2)) AS t FROM (SELECT only_a, only_b, pow(greatest(abs(only_a - only_b) - 1, 0), 2) / nullif(CAST(only_a + only_b AS DOUBLE), 0) AS statistic FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b FROM labels)))")
 def a16(spark, d):
-    return metrics.mcnemar(table(spark, d, "labels"), "quality", "toxic").select("only_a", "only_b", _r("statistic"))
+    return metrics.mcnemar(table(spark, d, "labels"), "quality", "toxic").select("only_a", "only_b", _r("statistic"), _r("p_value"), "significant")
+
+
+@query("a16_transitions", "", "SELECT CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'TP' ELSE 'FN' END ELSE CASE WHEN toxic = 1 THEN 'FP' ELSE 'TN' END END AS before, CASE WHEN quality = 1 THEN CASE WHEN doc_id % 2 = 1 THEN 'TP' ELSE 'FN' END ELSE CASE WHEN doc_id % 2 = 1 THEN 'FP' ELSE 'TN' END END AS after, count(*) AS n FROM labels GROUP BY ALL")
+def a16_transitions(spark, d):
+    return metrics.label_transitions(table(spark, d, "labels").withColumn("odd", F.col("doc_id") % 2), "quality", "toxic", "odd")
 
 
 @query("a17_classifier_measures", "", "SELECT round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS bac, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT CAST(count(*) FILTER (quality = 1 AND toxic = 1) AS DOUBLE) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0)::DOUBLE AS tn FROM labels)")
@@ -408,9 +418,10 @@ def t8(spark, d):
     return text.keywords(_members(spark, d), tokens(spark, d)).select("thread_id", "rank", "term", _r("score"))
 
 
-@query("t10_keyword_weight", "", None)
+@query("t10_keyword_weight", "keywords", "SELECT thread_id, round(sum(score) / 3, 6) AS keyword_weight, string_agg(term, ' ' ORDER BY term) AS keywords FROM keywords GROUP BY thread_id")
 def t10(spark, d):
-    return text.keywords(_members(spark, d), tokens(spark, d)).groupBy("thread_id").agg((F.sum("score") / 3).alias("keyword_weight"), F.array_sort(F.collect_list("term")).alias("keywords"))
+    frame = text.keywords(_members(spark, d), tokens(spark, d)).groupBy("thread_id")
+    return frame.agg(F.round(F.sum("score") / 3, 6).alias("keyword_weight"), F.array_join(F.array_sort(F.collect_list("term")), " ").alias("keywords"))
 
 
 # Tuning
@@ -421,9 +432,13 @@ def a11(spark, d):
     return tuning.grid(spark)
 
 
-@query("a10_grid_search", "threads coherence diversity", """, g AS (SELECT l[1] AS l_lo, l[2] AS l_hi, s[1] AS s_lo, s[2] AS s_hi, 0 AS d_lo, d AS d_hi FROM (SELECT unnest([[3, 5], [3, 10], [3, 20], [3, 30], [3, 40], [3, 50], [3, 60], [3, 70], [3, 80], [3, 90], [3, 100]]) AS l), (SELECT unnest([[0::DOUBLE, 1], [0.1, 0.9], [0.2, 0.8], [0.3, 0.7], [0.4, 0.6]]) AS s), (SELECT unnest([30, 60, 90, 120, 180, 365]) AS d)),
-m AS (SELECT t.*, c.coherence, CASE WHEN isfinite(v.diversity) THEN v.diversity END AS diversity FROM threads t LEFT JOIN coherence c USING (thread_id) LEFT JOIN diversity v USING (thread_id))
-SELECT l_lo, l_hi, s_lo, s_hi, d_lo, d_hi, count(*) AS n_threads, round(avg(coherence), 6) AS coherence, count(*) - count(coherence) AS bad_coherence, round(avg(diversity), 6) AS diversity, count(*) - count(diversity) AS bad_diversity FROM m JOIN g ON length BETWEEN l_lo AND l_hi AND span_days BETWEEN d_lo AND d_hi AND NOT isnan(similarity) AND similarity BETWEEN s_lo AND s_hi GROUP BY ALL""")
+#: Ranges, measured threads and the result of each range.
+GRID_SQL = """, g AS (SELECT l[1] AS l_lo, l[2] AS l_hi, s[1] AS s_lo, s[2] AS s_hi, 0 AS d_lo, d AS d_hi FROM (SELECT unnest([[3, 5], [3, 10], [3, 20], [3, 30], [3, 40], [3, 50], [3, 60], [3, 70], [3, 80], [3, 90], [3, 100]]) AS l), (SELECT unnest([[0::DOUBLE, 1], [0.1, 0.9], [0.2, 0.8], [0.3, 0.7], [0.4, 0.6]]) AS s), (SELECT unnest([30, 60, 90, 120, 180, 365]) AS d)),
+m AS (SELECT t.*, c.coherence, CASE WHEN isfinite(v.diversity) THEN v.diversity END AS diversity FROM threads t LEFT JOIN coherence c USING (thread_id) LEFT JOIN diversity v USING (thread_id)),
+res AS (SELECT l_lo, l_hi, s_lo, s_hi, d_lo, d_hi, count(*) AS n_threads, round(avg(coherence), 6) AS coherence, count(*) - count(coherence) AS bad_coherence, round(avg(diversity), 6) AS diversity, count(*) - count(diversity) AS bad_diversity FROM m JOIN g ON length BETWEEN l_lo AND l_hi AND span_days BETWEEN d_lo AND d_hi AND NOT isnan(similarity) AND similarity BETWEEN s_lo AND s_hi GROUP BY ALL)"""
+
+
+@query("a10_grid_search", "threads coherence diversity", GRID_SQL + " SELECT * FROM res")
 def a10(spark, d):
     found = tuning.grid_search(_measured(spark, d), tuning.grid(spark))
     return found.select("l_lo", "l_hi", "s_lo", "s_hi", "d_lo", "d_hi", "n_threads", _r("coherence"), "bad_coherence", _r("diversity"), "bad_diversity")

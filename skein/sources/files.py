@@ -139,9 +139,9 @@ def write_threads(threads: DataFrame, path: str, run: str, mode: str = "w") -> N
     threads.write.mode(_mode(mode)).parquet(f"{path}/run={run}")
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """One more record in a log of JSON lines."""
-    metrics.write.mode("append").json(path)
+def append_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
+    """One more record in a log of JSON lines; to overwrite, give each record a folder of its own."""
+    metrics.write.mode(mode).json(path)
 
 
 def stored(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:

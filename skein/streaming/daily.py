@@ -109,9 +109,10 @@ class DailyThreads:
         return threads.ordered(self.members(spark), self.articles(spark))
 
     def evaluate(self, spark: SparkSession, day: str) -> None:
-        """Adds the record of the documents seen so far to the log under ``metrics``."""
+        """Puts the record of the documents seen so far into the log under ``metrics``, in place of an earlier one of this
+        last step: a step that is run again is logged once."""
         ranges = dataclasses.replace(self.p, **SELECTION)
-        append_metrics(evaluation.evaluate(self.ordered(spark), self.articles(spark), ranges).withColumn("day", F.lit(day)), f"{self.path}/metrics")
+        append_metrics(evaluation.evaluate(self.ordered(spark), self.articles(spark), ranges).withColumn("day", F.lit(day)), f"{self.path}/metrics/epoch={self._last(spark, 1 << 62)}", mode="overwrite")
 
     def run(self, articles: DataFrame, history_days: int = 30, step_days: int = 1, evaluate: bool = True) -> None:
         """History in one step, then every window of ``step_days`` once; an evaluation after history, after each 7 days (or
