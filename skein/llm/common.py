@@ -97,8 +97,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     """
     start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = scratch.keep(start.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{tag}-0")
-    mark, step, last = _mark(now), 0, [f"{tag}-0"]
-    while mark[0]:
+    step, last = 0, [f"{tag}-0"]
+    while not _stars(now):
         step += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-{step}-m")
@@ -109,17 +109,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         now = scratch.keep(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-{step}")
         scratch.drop(*last)
         last = [f"{tag}-{step}{x}" for x in ("", "-m", "-l", "-n")]
-        before, mark = mark, _mark(now)
-        if before == mark:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, or none: then the smaller ends are the components' least nodes."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def with_texts(docs: DataFrame, *columns: str) -> DataFrame:

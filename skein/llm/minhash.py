@@ -232,11 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     best = scratch.keep(_with_fp(scratch, reps, _apart(scratch, posts, reps, components, None, percent, "best")), "best-pairs")
     if not best.isEmpty():
         sets = _shingle_sets(scratch, docs, reps, best, k, "sets")
-        links = links.unionByName(_confirmed(scratch, best, sets, percent, "more"))
-        components = scratch.keep(connected_components(links, scratch, tag="cc1"), "components-1")
+        components = _merged(scratch, components, _confirmed(scratch, best, sets, percent, "more"), "1")
         rest = scratch.keep(_with_fp(scratch, reps, _apart(scratch, posts, reps, components, sets, percent, "rest")), "rest-pairs")
-        links = links.unionByName(_confirmed(scratch, rest, sets, percent, "rest"))
-        components = scratch.keep(connected_components(links, scratch, tag="cc2"), "components-2")
+        components = _merged(scratch, components, _confirmed(scratch, rest, sets, percent, "rest"), "2")
         scratch.drop("sets", "posts")
     names = components.join(reps.select(F.col("id").alias("node"), "doc", "fp"), "node")
     least = names.groupBy("component").agg(F.min("doc").alias("c"))
@@ -247,6 +245,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _merged(scratch: Scratch, components: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """Components after further links. Only the components that these join are walked, not all nodes once more."""
+    end = lambda x: components.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = scratch.keep(connected_components(between, scratch, tag=f"cc{tag}"), f"moved-{tag}")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = components.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    single = moved.join(components.select("node"), "node", "left_anti")
+    return scratch.keep(old.unionByName(single), f"components-{tag}")
+
+
 _PAIR = "a long, b long, fp_a binary, fp_b binary"
 
 
