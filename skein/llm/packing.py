@@ -19,8 +19,8 @@ from skein.llm.common import Scratch, rows_by_bytes, tidy, with_texts
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs.
 ITEMS = 100_000
-#: Words that a worker keeps, and the characters of the longest that it keeps.
-_CACHE_WORDS, _CACHE_CHARS = 300_000, 64
+#: Words that a task keeps, and the characters of the longest that it keeps; bytes of texts that are encoded at once.
+_CACHE_WORDS, _CACHE_CHARS, _SLICE = 300_000, 64, 1 << 20
 #: Latin letters and signs that lower-case to one character which is among them too.
 _LATIN = "".join(c for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and 0xA1 <= ord(c.lower()) < 0x250)
 #: Texts of these characters alone are split here; any other text goes to the tokenizer whole. None of them changes under
@@ -37,11 +37,16 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        """No words: workers outlive their task, and later stages need the memory."""
+        self.kept, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.kept) > _CACHE_WORDS:  # words that come back move on from the older generation
@@ -78,7 +83,7 @@ class WordEncoder:
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each Python worker, so that a task finds the words of those before it."""
+    """One encoder for each Python worker, which reads its vocabulary once."""
     return WordEncoder(path)
 
 
@@ -99,14 +104,17 @@ def _cut(path: str | None):
         from pyspark import TaskContext
 
         words, uid, size = encoder(path or default_vocabulary()), TaskContext.get().partitionId() << 36, 4 * CAPACITY
-        for batch in rows_by_bytes(batches):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode([t.as_py().decode() for t in batch.column(1)]), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), size)):
-                    rows.append((doc, uid, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])))
-                    uid += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        try:
+            for batch in rows_by_bytes(batches, _SLICE):
+                rows = []
+                for doc, ids in zip(batch.column(0).to_pylist(), words.encode([t.as_py().decode() for t in batch.column(1)]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), size)):
+                        rows.append((doc, uid, k, at // 4, len(ids[at : at + size]) // 4, zlib.crc32(ids[at : at + size])))
+                        uid += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        finally:
+            words.forget()
 
     return run
 

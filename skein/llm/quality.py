@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from skein.llm.common import rows_by_bytes, tidy, with_texts
 SAMPLE = 4096
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 0.5
 CHARS = (3, 4)
-#: Words that a scorer keeps and the bytes of the longest that it keeps; characters whose n-grams are hashed at once.
-_CACHE_WORDS, _CACHE_BYTES, _WINDOW = 400_000, 64, 1 << 19
+#: Words that a scorer keeps and the bytes of the longest that it keeps; characters whose n-grams are hashed at once; bytes
+#: of texts that are split into words at once. Each worker holds so much beside what the JVM has of an executor's memory.
+_CACHE_WORDS, _CACHE_BYTES, _WINDOW, _SLICE = 100_000, 64, 1 << 16, 1 << 19
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -103,7 +105,7 @@ class SubwordClassifier:
         for _ in range(EPOCHS):
             for i in rng.permutation(len(labels)):
                 rate, step = RATE * (1 - step / total), step + 1
-                ids, counts = rows[i]
+                ids, counts = rows[i][0].astype(np.int64), rows[i][1].astype(np.float64)
                 if not len(ids):
                     continue
                 part = (counts / counts.sum())[:, None]
@@ -185,17 +187,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: i
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("h", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for batch in rows_by_bytes(batches):
+        for batch in rows_by_bytes(batches, _SLICE):
             texts = batch.column(1).to_pylist()
             got = [document_features(t) for t in texts]
             columns = [[xxhash.xxh128_digest(t) for t in texts], [i.astype("<u2").tobytes() for i, _ in got], [c.astype("<f4").tobytes() for _, c in got]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
 
     rows = texts.select("doc_id", "_t", "quality").mapInArrow(tidy(run), "doc_id long, quality int, h binary, ids binary, counts binary")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "ids", "counts")).alias("r")).select("doc_id", "r.quality", "r.ids", "r.counts").toPandas()
-    rows = rows.sort_values("doc_id", ignore_index=True)
-    feats = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
-    return SubwordClassifier().fit(feats, rows["quality"].to_numpy(np.int64))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "ids", "counts")).alias("r")).select("doc_id", "r.quality", "r.ids", "r.counts").toArrow()
+    rows = rows.take(pc.sort_indices(rows["doc_id"]))
+    # Read where they lie: as wide numbers they take three times the memory.
+    feats = [(np.frombuffer(i.as_buffer(), "<u2"), np.frombuffer(c.as_buffer(), "<f4")) for i, c in zip(rows["ids"], rows["counts"], strict=True)]
+    return SubwordClassifier().fit(feats, rows["quality"].to_numpy().astype(np.int64))
 
 
 def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = 0.7) -> DataFrame:
@@ -209,7 +212,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier, threshold: float =
 
     def run(batches):
         scorer = Scorer(each, bias)  # of this task: what it keeps goes with it
-        for batch in rows_by_bytes(batches):
+        for batch in rows_by_bytes(batches, _SLICE):
             scores = scorer.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -223,7 +226,7 @@ def keep_quality(docs: DataFrame, model: SubwordClassifier, threshold: float = 0
 
     def run(batches):
         scorer = Scorer(each, bias)  # of this task: what it keeps goes with it
-        for batch in rows_by_bytes(batches, text="text"):
+        for batch in rows_by_bytes(batches, _SLICE, text="text"):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(scorer.scores([(t or "").encode() for t in texts]) >= threshold, pa.bool_()))
 

@@ -4,9 +4,12 @@ import glob
 import hashlib
 import os
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +380,35 @@ def test_quality_query_against_brute_force(spark):
         assert r["held_out"] == out[i] and r["score"] == pytest.approx(scorer.score(texts[i].encode()), abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
 
 
+def test_quality_holds_little_in_a_worker():
+    """What a task over 6 MB of ever new words holds at once does not follow the size of its batch."""
+    rng = np.random.default_rng(2)
+    made = rng.choice(list("abcdefghijklmnop"), (1000, 800, 7))
+    made[:, :, 6] = " "
+    texts = [row.tobytes().decode("utf-32-le") for row in made]
+    batch = pa.record_batch({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array(texts)})
+    docs, model = SimpleNamespace(schema=None, mapInArrow=lambda run, schema: run), quality.SubwordClassifier()
+    run = quality.keep_quality(docs, model, 0.0)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_fit_holds_features_once(spark):
+    """The driver reads the sample's features from the table that came, without wider copies."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 400), i -> hex(xxhash64(id, i))), ' ')").alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    tracemalloc.start()
+    try:
+        quality.fit_quality(docs, labels, F.lit(True))
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality_takes_one_row_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(1, "good words here")] * 50 + [(1, "other text"), (2, "bad words there")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
@@ -453,6 +485,22 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(no_docs(spark)).count() == 0
 
 
+def test_packing_leaves_no_words_in_its_worker(monkeypatch):
+    """Workers outlive the task, and the stages after it share an executor's memory with them."""
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    texts = ["some words", "", "some other words"]
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, 3], pa.int64()), "_t": pa.array([t.encode() for t in texts], pa.binary())})
+    run, words = packing._cut(None), packing.encoder(packing.default_vocabulary())
+    lengths = [n for b in run(iter([batch, batch])) for n in b.column("length").to_pylist()]
+    assert lengths == [len(ENCODER.whole(t)) // 4 + 1 for t in texts] * 2 and not words.kept and not words.older
+    next(got := run(iter([batch, batch])))
+    assert words.kept
+    got.close()  # a task that is stopped early, as by a limit
+    assert not words.kept
+
+
 # 7
 
 
