@@ -215,7 +215,7 @@ def p15(spark, d):
 @query("g12_numeric_threshold", "roots", """, pw AS (SELECT p.node, p.parent, round(p.weight, 12) AS weight, r.root FROM parents p JOIN roots r ON r.node = p.node), lim AS (SELECT root, round(quantile_cont(weight, 0.7), 12) AS cut FROM pw GROUP BY root), deg AS (SELECT parent, count(*) AS children FROM parents GROUP BY parent)
 SELECT pw.node, pw.parent FROM pw JOIN lim USING (root) LEFT JOIN deg ON deg.parent = pw.node WHERE NOT (pw.weight > lim.cut AND coalesce(deg.children, 0) > 1)""")
 def g12(spark, d):
-    return community.prune(R._edges(spark, d), dataclasses.replace(P, th=70.0))[1].select("node", "parent")
+    return community.prune(R._edges(spark, d, forest=True), dataclasses.replace(P, th=70.0))[1].select("node", "parent")
 
 
 @query("g17_modularity", "", None)

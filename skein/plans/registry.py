@@ -11,6 +11,7 @@ from skein.functions import kernels as K
 from skein.operators import community, entity_graph, metrics, pairs, text, threads, tuning
 from skein.plans import validation
 from skein.plans.articles import Settings, articles, entities, table, tokens, with_positions
+from skein.session import cut_lineage
 from skein.sources import files
 
 P = Settings()
@@ -107,25 +108,25 @@ def _r(c: str, places: int = 6):
     return F.round(c, places).alias(c)
 
 
-def _edges(spark, sf_dir, p=P):
-    """Weighted edges of the article graph."""
-    found = pairs.similar_pairs(articles(spark, sf_dir), p)
+def _edges(spark, sf_dir, p=P, forest=False):
+    """Weighted edges of the article graph; with ``forest`` and no entities only those that communities can take."""
+    found = pairs.similar_pairs(articles(spark, sf_dir), p, forest=forest and not p.ent)
     return entity_graph.entity_weighted(found, entities(spark, sf_dir), p) if p.ent else found.withColumn("weight", F.col("distance"))
 
 
 def _ordered(spark, sf_dir, p=P):
-    return threads.ordered(community.communities(_edges(spark, sf_dir, p), p), articles(spark, sf_dir))
+    return threads.ordered(community.communities(_edges(spark, sf_dir, p, forest=True), p), articles(spark, sf_dir))
 
 
 def _members(spark, sf_dir, p=P):
     """``thread_id, doc_id, text_id`` of the threads."""
-    found = community.communities(_edges(spark, sf_dir, p), p).withColumnRenamed("node", "doc_id")
+    found = community.communities(_edges(spark, sf_dir, p, forest=True), p).withColumnRenamed("node", "doc_id")
     return found.join(articles(spark, sf_dir).select("doc_id", "text_id"), "doc_id")
 
 
 def _measured(spark, sf_dir, p=P):
     """The threads' summaries with ``coherence``, ``diversity`` and the keywords' weight."""
-    return validation.measured(articles(spark, sf_dir), _edges(spark, sf_dir, p), tokens(spark, sf_dir), p)
+    return validation.measured(articles(spark, sf_dir), _edges(spark, sf_dir, p, forest=True), tokens(spark, sf_dir), p)
 
 
 # Order, dates, slices
@@ -259,30 +260,30 @@ def w8(spark, d):
 
 @query("g8_best_parent", "parents", "SELECT node, parent, round(weight, 6) AS weight FROM parents")
 def g8(spark, d):
-    return community.best_parents(_edges(spark, d)).select("node", "parent", _r("weight"))
+    return community.best_parents(_edges(spark, d, forest=True)).select("node", "parent", _r("weight"))
 
 
 @query("g13_out_degree", "parents", "SELECT parent, count(*) AS children FROM parents GROUP BY parent")
 def g13(spark, d):
-    return community.best_parents(_edges(spark, d)).groupBy("parent").agg(F.count("*").alias("children"))
+    return community.best_parents(_edges(spark, d, forest=True)).groupBy("parent").agg(F.count("*").alias("children"))
 
 
 @query("g14_components", "roots", "SELECT node, root FROM roots")
 def g14(spark, d):
-    edges = _edges(spark, d)
+    edges = cut_lineage(_edges(spark, d, forest=True))
     return community.forest_roots(community.first_seen(edges), community.best_parents(edges))
 
 
 @query("g10_weak_link_cut", "cut", "SELECT node, parent, round(weight, 6) AS weight FROM cut")
 def g10(spark, d):
-    edges = _edges(spark, d)
+    edges = cut_lineage(_edges(spark, d, forest=True))
     seen, parents = community.first_seen(edges), community.best_parents(edges)
     return community.weak_link_cut(parents, community.forest_roots(seen, parents), seen, P).select("node", "parent", _r("weight"))
 
 
 @query("a13_component_percentiles", "roots", "SELECT root, round(quantile_cont(weight, 0.25), 6) AS p25, round(quantile_cont(weight, 0.75), 6) AS p75 FROM parents JOIN roots USING (node) GROUP BY root")
 def a13(spark, d):
-    edges = _edges(spark, d)
+    edges = cut_lineage(_edges(spark, d, forest=True))
     parents = community.best_parents(edges)
     rows = parents.join(community.forest_roots(community.first_seen(edges), parents), "node")
     return rows.groupBy("root").agg(F.round(F.percentile("weight", 0.25), 6).alias("p25"), F.round(F.percentile("weight", 0.75), 6).alias("p75"))

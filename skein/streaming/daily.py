@@ -66,7 +66,7 @@ class DailyThreads:
         near = new
         if past is not None:
             near = new.unionByName((past if reach == math.inf else past.where(F.col("sec") >= first - reach)).select(*columns))
-        edges = pairs.similar_pairs(near.withColumn("part_id", F.lit(0)), p, span=self.span, sources=new)
+        edges = pairs.similar_pairs(near.withColumn("part_id", F.lit(0)), p, span=self.span, sources=new, forest=not p.ent)
         if p.ent:
             graph = self.entities.join(new.select("doc_id") if past is None else past.select("doc_id").unionByName(new.select("doc_id")), "doc_id", "left_semi")
             edges = entity_graph.entity_weighted(edges, graph, p)
